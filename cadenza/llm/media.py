@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -281,9 +282,7 @@ def sniff(values: DataFrame, data: str = "data", declared: str | None = None) ->
     kind = "media_type string, items array<struct<type:string,offset:bigint,length:bigint>>"
 
     @F.pandas_udf(kind)
-    def look(column):
-        import pandas as pd
-
+    def look(column: pd.Series) -> pd.DataFrame:
         found = [items(bytes(x)) if x is not None else [] for x in column]
         return pd.DataFrame({"media_type": [next((k for k, at, _ in f if at == 0), None) for f in found], "items": [[{"type": k, "offset": a, "length": n} for k, a, n in f] for f in found]})
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lattice, licenses, media, packing, secrets, simhash, token_files
+from . import bpe, langid, lattice, licenses, media, packing, secret_scan, simhash, token_files, toxicity
 from .sql import LICENSES_SQL, SECRETS_SQL
 
 
@@ -22,6 +22,17 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents (doc_id) and all pages (page_id): together they have every kind of evidence."""
+    rows = langid.from_documents(_table(spark, sf_dir, "documents")).unionByName(langid.from_pages(_table(spark, sf_dir, "pages")))
+    return langid.identify(rows).select("doc_id", "page_id", "lang", "posterior", "text_lang", "declared", "kept")
+
+
 def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -31,7 +42,7 @@ def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_table(spark, sf_dir, "documents"))
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +58,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_license_scans, op5_embedding_neardup, op6_simhash_neardup, op7_secret_scans, op8_media_columns, op9_bpe_round_trip, op10_token_files)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_license_scans, op3_toxicity, op4_language_id, op5_embedding_neardup, op6_simhash_neardup, op7_secret_scans, op8_media_columns, op9_bpe_round_trip, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

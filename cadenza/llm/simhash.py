@@ -72,15 +72,15 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp: long, the fingerprint's bits) of every document (doc_id, text)."""
+    """(doc_id, text_hash, fp: long, the fingerprint's bits) of every document (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             h = np.fromiter((fingerprint(t, words, seed) for t in b.column(1).to_pylist()), "<u8", b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h.view("<i8"))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(h.view("<i8"))], names=["doc_id", "text_hash", "fp"])
 
-    rows = exact(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = exact(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -213,33 +213,40 @@ def links(nodes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> D
     return near.unionByName(other)
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """One row per row of (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
+def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, distance: int = DISTANCE, bucket: int = BUCKET, with_hash: bool = False) -> DataFrame:
+    """One row per row of (doc_id, text): doc_id, fingerprint (16 hex digits), component_id (and text_hash).
 
     component_id is the least doc_id reachable through links. Null or empty
-    text, or one without words: fingerprint zero, linked like any other. Null
-    doc_id: linked as well, its class has the least doc_id that is not null,
-    null if there is none. Repeated rows are returned as often. Empty table:
-    empty result.
+    text, or one without words: fingerprint zero, linked like any other. A row
+    without a doc_id gets the class of its fingerprint, and null where only
+    such rows have it. Repeated rows are returned as often. Empty table: empty
+    result.
     """
     fps = materialize(fingerprints(docs, words, seed), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
-    # A class may hold rows without a doc_id; the fingerprint itself then serves as the node.
-    known = nodes.where("least is not null").select("fp", F.col("least").alias("node"))
+    known = materialize(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
     classes = connected_components(links(known, distance, bucket))
     of_fp = materialize(known.join(classes, "node", "left").select(F.col("fp").alias("f"), F.coalesce("component", "node").alias("component_id")), "classes")
-    return fps.join(of_fp, fps["fp"] == of_fp["f"], "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    joined = fps.join(of_fp, fps["fp"] == of_fp["f"], "left")
+    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *(["text_hash"] if with_hash else []))
 
 
 def representatives(docs: DataFrame, **how) -> DataFrame:
-    """The documents that stay: of each class the one whose doc_id is the class's id, all columns kept.
+    """The documents that stay: of each class one whose doc_id is the class's id, all columns kept.
 
-    Of rows that share that doc_id one stays. Rows without a doc_id stay.
+    Rows without a doc_id stay. Decisions are tables of ids and hashes; texts
+    move only as far as the join of those tables needs.
     """
-    classes = near_duplicates(docs, **how)
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = materialize(kept, "kept")
+    classes = materialize(near_duplicates(docs, **how, with_hash=True).where("doc_id is not null").select("doc_id", "text_hash", "component_id"), "members")
+    of_row = classes.groupBy("doc_id", "text_hash").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
+    chosen = of_row.where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("first_hash"))
+    judged = of_row.join(chosen.withColumnRenamed("doc_id", "chosen_id"), F.col("doc_id") == F.col("chosen_id"), "left")
+    stays = (F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))
+    judged = materialize(judged.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), stays.alias("stays"), "n"), "judged")
     names = docs.columns
-    rows = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
-    once = rows.dropDuplicates(["doc_id"]) if rows.columns else rows
-    return once.select(*names).unionByName(docs.where("doc_id is null").select(*names))
+    same = (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
+    gone = materialize(judged.where("not stays or n > 1").select("_doc", "_hash"), "gone")
+    once = docs.join(gone, same, "left_anti")
+    # Rows that occur several times, of which one stays, are few; only they are grouped.
+    repeated = materialize(judged.where("stays and n > 1").select("_doc", "_hash"), "repeated")
+    first = docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
+    return once.select(*names).unionByName(first.select(*names))
