@@ -1 +1 @@
-
+"""Column functions: scalars, vectors, distributions and text."""

@@ -46,3 +46,24 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(p.relative_to(root.parent)))
     sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)
+
+
+_FOLDERS: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application that driver and executors share, as a URI.
+
+    It lies in ``spark.checkpoint.dir`` of the session; only a local session
+    without that setting gets a temporary folder.
+    """
+    sc = spark.sparkContext
+    told = sc.getConf().get("spark.checkpoint.dir")
+    if told:
+        return f"{told.rstrip('/')}/{sc.applicationId}"
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if sc.applicationId not in _FOLDERS:
+        _FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="cadenza-shared-")
+        atexit.register(shutil.rmtree, _FOLDERS[sc.applicationId], True)
+    return f"file://{_FOLDERS[sc.applicationId]}"

@@ -1 +1 @@
-
+"""Structured Streaming: chunks in, frames out."""
