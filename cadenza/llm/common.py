@@ -12,8 +12,9 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -69,8 +70,23 @@ def drop_paths(spark: SparkSession, *paths: str) -> None:
 
 
 
+#: Rows of an Arrow batch: texts can be long, and a batch is in memory on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of rows with texts small, unless the session already does."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def exact(df: DataFrame, *names: str) -> DataFrame:
-    """Only these columns of ``df``, found by exact spelling and, failing that, by the only spelling there is."""
+    """Only these columns of ``df``, found by exact spelling and, failing that, by the only spelling there is.
+
+    Every operator on texts starts here, so this also bounds the Arrow batches.
+    """
+    small_batches(df.sparkSession)
     have = df.columns
     at = []
     for n in names:
@@ -85,6 +101,26 @@ def exact(df: DataFrame, *names: str) -> DataFrame:
     return by_place.select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names, strict=True)])
 
 
+def keeping_columns(*needed: str) -> Callable:
+    """For functions of documents that return the same columns: inside only the needed ones keep their names.
+
+    Whatever else a table has, names that clash included, is renamed by
+    position on the way in and gets its name back on the way out.
+    """
+
+    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(f)
+        def run(docs: DataFrame, *args, **how) -> DataFrame:
+            small_batches(docs.sparkSession)
+            names = docs.columns
+            inner = [n if n in needed and names.index(n) == i else f"_extra{i}" for i, n in enumerate(names)]
+            return f(docs.toDF(*inner), *args, **how).toDF(*names)
+
+        return run
+
+    return wrap
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that few texts at a time become Python objects."""
     for b in batches:

@@ -24,12 +24,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import exact, materialize, pieces
+from .common import exact, keeping_columns, materialize, pieces
 
 #: Rows that the trigram models are fitted on, per language (in expectation: a hash decides).
 SAMPLE = 1500
@@ -45,7 +45,9 @@ CERTAIN = 0.5
 SHARE = 0.005
 
 _SKIP = re.compile(r"<(script|style|head|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-_MARKUP = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+#: The language that an html element declares, within the first characters of a page.
+_MARKUP = r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
+_HEAD = 65536
 
 
 def page_text(markup: str) -> str:
@@ -53,12 +55,6 @@ def page_text(markup: str) -> str:
     return html.unescape(_SKIP.sub(" ", markup))
 
 
-def declared_language(markup: str) -> str | None:
-    """The language that the html element declares."""
-    found = _MARKUP.search(markup[:65536])
-    return found.group(1).lower() if found else None
-
-
 def _buckets(text: str) -> np.ndarray:
     """Hashed byte trigrams around and inside words; other characters count as one blank."""
     raw = np.frombuffer(b" " + text.lower().encode("utf-8", "replace") + b" ", np.uint8)
@@ -90,23 +86,27 @@ class Model:
         return (total - total.max()).tolist()
 
 
+def _read(content: str | None, markup: bool) -> str:
+    return (page_text(content) if markup else content) if content else ""
+
+
 def fit(rows: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Model:
-    """A model from (text, declared) rows; declared languages are told apart as they are spelt."""
-    named = rows.where("declared is not null and text is not null")
+    """A model from (content, is_markup, declared) rows; declared languages are told apart as they are spelt."""
+    named = rows.where("declared is not null and content is not null")
     counts = {r["declared"]: r["n"] for r in named.groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(200).collect()}
     total = sum(counts.values())
     languages = sorted(k for k, n in counts.items() if n >= share * total)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)))
-    place = (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / (1 << 20)).cast("double")
+    place = (F.pmod(F.xxhash64("content"), F.lit(1 << 20)) / (1 << 20)).cast("double")
     odds = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample / counts[k]))])
-    taken = named.where(F.col("declared").isin(languages)).where(place < F.try_element_at(odds, F.col("declared"))).select("declared", "text")
+    taken = named.where(F.col("declared").isin(languages)).where(place < F.try_element_at(odds, F.col("declared"))).select("declared", "content", "is_markup")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {k: np.zeros(BUCKETS, np.int64) for k in languages}
         for b in pieces(batches):
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[k] += np.bincount(_buckets(text), minlength=BUCKETS)
+            for k, content, markup in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                seen[k] += np.bincount(_buckets(_read(content, markup)), minlength=BUCKETS)
         for k, n in seen.items():
             at = np.flatnonzero(n)
             if len(at):
@@ -121,14 +121,17 @@ def fit(rows: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Model:
 
 
 def with_evidence(rows: DataFrame, model: Model) -> DataFrame:
-    """Replaces ``text`` by ``evidence`` (array<double>); other columns are kept."""
+    """Replaces ``content`` and ``is_markup`` by ``evidence`` (array<double>); other columns are kept."""
+    rest = [c for c in rows.columns if c not in ("content", "is_markup")]
+    schema = T.StructType([*rows.select(*rest).schema.fields, T.StructField("evidence", T.ArrayType(T.DoubleType()))])
+    n = len(rest)
 
-    @F.pandas_udf("array<double>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([model.evidence(t) if t else None for t in texts], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            found = [model.evidence(_read(c, m)) for c, m in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(found, pa.list_(pa.float64()))], names=[*rest, "evidence"])
 
-    return rows.withColumn("evidence", of("text")).drop("text")
+    return rows.select(*rest, "content", "is_markup").mapInArrow(run, schema)
 
 
 def _softmax(logs: Column) -> Column:
@@ -201,30 +204,26 @@ def fuse(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def from_documents(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source") -> DataFrame:
-    """Evidence rows of documents: doc_id, text, declared; the source is the host, and its name without digits the parent."""
+    """Evidence rows of documents: doc_id, content, declared; the source is the host, and its name without digits the parent."""
     names = ["doc_id", text] + [c for c in (declared, host) if c]
     d = exact(docs, *dict.fromkeys(names))
     said = F.lower(F.col(declared).cast("string")) if declared else F.lit(None).cast("string")
     home = F.col(host).cast("string") if host else F.lit(None).cast("string")
-    return d.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), F.col(text).cast("string").alias("text"), said.alias("declared"), F.lit(None).cast("string").alias("suffix"), home.alias("host"), F.regexp_replace(home, "[0-9]+$", "").alias("parent"))
+    return d.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), F.col(text).cast("string").alias("content"), F.lit(False).alias("is_markup"), said.alias("declared"), F.lit(None).cast("string").alias("suffix"), home.alias("host"), F.regexp_replace(home, "[0-9]+$", "").alias("parent"))
 
 
 def from_pages(pages: DataFrame) -> DataFrame:
-    """Evidence rows of pages (page_id, url, html): visible text, declared markup language, address suffix, host and domain."""
-
-    @F.pandas_udf("text string, declared string")
-    def read(markup: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"text": [page_text(m) if m else None for m in markup], "declared": [declared_language(m) if m else None for m in markup]})
-
+    """Evidence rows of pages (page_id, url, html): declared markup language, address suffix, host and domain; the text is read later."""
     p = exact(pages, "page_id", "url", "html")
     host = F.lower(F.nullif(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
-    seen = p.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), read(F.col("html").cast("string")).alias("r"))
-    parent = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
-    return seen.select(F.lit(None).cast("long").alias("doc_id"), "page_id", "r.text", "r.declared", F.nullif(F.regexp_extract("host", r"\.([a-z]{2,})$", 1), F.lit("")).alias("suffix"), "host", F.nullif(parent, F.lit("")).alias("parent"))
+    seen = p.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.col("html").cast("string").alias("content"))
+    some = lambda c: F.nullif(c, F.lit(""))
+    said = some(F.lower(F.regexp_extract(F.substring("content", 1, _HEAD), _MARKUP, 1)))
+    return seen.select(F.lit(None).cast("long").alias("doc_id"), "page_id", "content", F.lit(True).alias("is_markup"), said.alias("declared"), some(F.regexp_extract("host", r"\.([a-z]{2,})$", 1)).alias("suffix"), "host", some(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).alias("parent"))
 
 
 def identify(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Fits on ``rows`` (text, declared, suffix, host, parent and any ids), and returns the ids with lang, posterior, text_lang, kept.
+    """Fits on ``rows`` (content, is_markup, declared, suffix, host, parent and any ids), and returns the ids with lang, posterior, text_lang, kept.
 
     Empty table: empty result. Null or empty text, or one without a letter:
     "und". Repeated rows are each returned.
@@ -233,13 +232,14 @@ def identify(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return fuse(with_evidence(rows, model), model)
 
 
+@keeping_columns("doc_id", "text", "lang", "source")
 def identified_documents(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source") -> DataFrame:
     """The documents whose language is identified; all rows of them and all columns are kept.
 
     What goes is listed first, as ids and hashes of texts; texts move only as
     far as the join with that list needs.
     """
-    rows = from_documents(docs, text, declared, host).withColumn("text_hash", F.xxhash64("text"))
+    rows = from_documents(docs, text, declared, host).withColumn("text_hash", F.xxhash64("content"))
     gone = identify(rows).where("not kept").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
     gone = materialize(gone, "unidentified")
     return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_hash")), "left_anti")
