@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import exact, pieces
+from .common import exact, keeping_columns, pieces
 
 #: Labelled rows of each class that a model is fitted on, at most (in expectation: a hash decides).
 SAMPLE = 5000
@@ -50,6 +50,7 @@ _SYMBOLS = re.escape("".join(LEET))
 WORD = re.compile(r"[^\W\d_]+")
 #: A token with a symbol that is followed by a letter or stands between letters, and at least two letters.
 LEETED = re.compile(rf"(?<![^\s\"'(\[])(?=[^\s]*[{_SYMBOLS}][^\W\d_]|[^\s]*[^\W\d_][{_SYMBOLS}][{_SYMBOLS}]*[^\W\d_])[\w{_SYMBOLS}]{{3,24}}(?![\w{_SYMBOLS}=:/])")
+TRIPLE = re.compile(r"([^\W\d_])\1\1")
 REPEATED = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
 SPACED = re.compile(rf"(?<![\w{_SYMBOLS}])[\w{_SYMBOLS}](?:[ .\-_*]{{1,2}}[\w{_SYMBOLS}]){{3,}}(?![\w{_SYMBOLS}])")
 _SEPARATORS = " .-_*"
@@ -119,37 +120,54 @@ def restore(token: str, model: CharModel) -> str:
     return max((score + model.step(c, "$"), text) for c, (score, text) in states.items())[1]
 
 
+_SYMBOL = re.compile(f"[{_SYMBOLS}]")
+
+
 def disguised(low: str) -> list[str]:
-    """The tokens of a lower-case text that look disguised."""
+    """The parts of a lower-case text that look disguised."""
     return [m.group().strip(_SEPARATORS) for pattern in (LEETED, REPEATED, SPACED) for m in pattern.finditer(low)]
 
 
 class Reader:
-    """Distinct words of texts, the restored ones included, with a bounded memo."""
+    """Distinct words of texts, the restored ones included.
+
+    Texts are read token by token (between white space) with a bounded memo, so
+    a token is looked into once; only letters set apart span tokens. ``wanted``
+    says which words are of interest.
+    """
 
-    def __init__(self, model: CharModel):
-        self.model, self.memo = model, {}
+    def __init__(self, model: CharModel, wanted: Callable[[str], bool] | None = None):
+        self.model, self.wanted, self.memo = model, wanted, {}
 
-    def _restored(self, token: str) -> str:
-        known = self.memo.get(token)
-        if known is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            known = self.memo[token] = restore(token, self.model)
-        return known
+    def _words(self, token: str) -> tuple[str, ...]:
+        found = WORD.findall(token)
+        if _SYMBOL.search(token):
+            for m in LEETED.finditer(token):
+                found += WORD.findall(restore(m.group(), self.model))
+        if TRIPLE.search(token):
+            found += [restore(m.group(), self.model) for m in REPEATED.finditer(token)]
+        return tuple(w for w in found if self.wanted(w)) if self.wanted else tuple(found)
 
     def words(self, text: str) -> set[str]:
-        low = text.lower()
-        found = set(WORD.findall(low))
-        for token in disguised(low):
-            found.update(WORD.findall(self._restored(token)))
-        return found
+        low, memo, out = text.lower(), self.memo, set()
+        for token in set(low.split()):
+            known = memo.get(token)
+            if known is None:
+                if len(memo) >= MEMO:
+                    memo.clear()
+                known = memo[token] = self._words(token)
+            if known:
+                out.update(known)
+        for m in SPACED.finditer(low):
+            read = WORD.findall(restore(m.group().strip(_SEPARATORS), self.model))
+            out.update(w for w in read if self.wanted(w)) if self.wanted else out.update(read)
+        return out
 
     def restored_text(self, text: str) -> str:
-        """The text, lower case, with disguised tokens replaced by their readings."""
+        """The text, lower case, with disguised parts replaced by their readings."""
         low = text.lower()
         for pattern in (SPACED, LEETED, REPEATED):
-            low = pattern.sub(lambda m: self._restored(m.group().strip(_SEPARATORS)), low)
+            low = pattern.sub(lambda m: restore(m.group().strip(_SEPARATORS), self.model), low)
         return low
 
 
@@ -163,20 +181,20 @@ class Model:
     weights: dict[str, float]
     bias: float
 
-    def scorer(self):
+    def scorer(self) -> Callable[[str], float]:
         """text -> probability; a feature counts once per distinct word, at most three times."""
-        reader, weights, memo = Reader(self.chars), self.weights, {}
+        weights = self.weights
+        whole = {f for f in weights if not f.endswith("-")}
+        begun = [(n, {f[:n] for f in weights if f.endswith("-") and len(f) == n + 1}) for n in BEGINNINGS]
+        begun = [(n, known) for n, known in begun if known]
+
+        def wanted(w: str) -> bool:
+            return w in whole or any(w[:n] in known and len(w) > n for n, known in begun)
+
+        reader = Reader(self.chars, wanted)
 
         def score(text: str) -> float:
-            hits: Counter = Counter()
-            for w in reader.words(text):
-                known = memo.get(w)
-                if known is None:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    known = memo[w] = tuple(f for f in features(w) if f in weights)
-                for f in known:
-                    hits[f] += 1
+            hits = Counter(f for w in reader.words(text) for f in features(w) if f in weights)
             # In a fixed order: equal texts get equal scores to the last bit.
             z = self.bias + sum(weights[f] * min(hits[f], 3) for f in sorted(hits))
             return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
@@ -313,6 +331,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+@keeping_columns("doc_id", "text")
 def clean_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score stays below the threshold; all columns kept, texts never shuffled."""
 
