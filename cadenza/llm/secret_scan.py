@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import exact, materialize
+from .common import exact, keeping_columns, materialize
 
 #: The kinds in the order of a listing, their patterns, and the least length that counts.
 KINDS = ["assign", "access", "hex", "live"]
@@ -130,6 +130,7 @@ def _replaced(text, kind: str, pattern: str, values, mark: str):
     return F.array_join(F.transform(parts, one), "")
 
 
+@keeping_columns("doc_id", "text", "source", "lang")
 def redact(docs: DataFrame, owner: str | None = "source", repository: str | None = "lang", copied_from: int = COPIED_FROM, mark: str = "[SECRET]") -> DataFrame:
     """The documents (doc_id, text and any others) with live-looking values replaced by ``mark``.
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, exact, materialize, pieces
+from .common import connected_components, exact, keeping_columns, materialize, pieces
 
 SEED = 42
 WORDS = 3
@@ -230,6 +230,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, dista
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *(["text_hash"] if with_hash else []))
 
 
+@keeping_columns("doc_id", "text")
 def representatives(docs: DataFrame, **how) -> DataFrame:
     """The documents that stay: of each class one whose doc_id is the class's id, all columns kept.
 
