@@ -17,6 +17,7 @@ from ..operators import coherence as H
 from ..operators import frames as FR
 from ..operators import observations as O
 from ..operators import segments as S
+from ..session import retained
 
 KEYS = ("session_id",)
 REPRESENTATIONS = ("acoustic", "embedding", "hybrid")
@@ -177,17 +178,21 @@ def evaluation(assignments: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def _result(observations: DataFrame, assignments: DataFrame, config: DiarizationConfig, keys: Sequence[str], **rest) -> Result:
-    # Retained evidence: turns, profiles, comparisons and replays all read these two.
-    observations, assignments = observations.persist(), assignments.persist()
+    # Retained evidence: turns, profiles, comparisons and replays all read this table.
+    assignments = retained(assignments, "assignments")
     turns = S.turns(assignments, keys, merge_gap=config.merge_gap_seconds)
     own = assignments.select(*keys, "obs_id", "start_s", "end_s", "speaker", "changed_by_continuity", "reliability").join(observations.select(*keys, "obs_id", "values"), [*keys, "obs_id"])
     return Result(observations, assignments, turns, S.speaker_profiles(own, keys), evaluation(assignments, keys), config, **rest)
 
 
 def diarize(frames: DataFrame, config: DiarizationConfig = DiarizationConfig(), enhanced: DataFrame | None = None, keys: Sequence[str] = KEYS, embeddings: DataFrame | None = None) -> Result:
-    """Runs every stage on classified frames (id, range, features, consistency, quality), and the enhanced view if there is one."""
+    """Runs every stage on classified frames (id, range, features, consistency, quality), and the enhanced view if there is one.
+
+    Noise evidence, observations and assignments are written as they are made,
+    so that replays and exports read them instead of running the stages again.
+    """
     noise = FR.noise_profiles(frames, keys)
-    evidence = FR.noise_evidence(frames, noise, keys) if enhanced is not None else None
+    evidence = retained(FR.noise_evidence(frames, noise, keys), "evidence") if enhanced is not None else None
     obs = O.observations(frames, keys, config.grouping, enhanced)
     if evidence is not None:
         obs = obs.join(FR.reliabilities(obs, evidence, keys, config.reliability), [*keys, "obs_id"])
@@ -199,6 +204,7 @@ def diarize(frames: DataFrame, config: DiarizationConfig = DiarizationConfig(),
         obs = enriched(obs, embeddings, [*keys, "obs_id"])
     else:
         obs = obs.withColumn("embedding", F.lit(None).cast("array<float>"))
+    obs = retained(obs, "observations")
     return _result(obs, assign(obs, config, keys=keys), config, keys, frames=frames, enhanced=enhanced, noise=noise, evidence=evidence)
 
 
@@ -214,7 +220,7 @@ def _variants(source: Result, variants: Sequence[tuple[str, FeatureWeights, str]
     listed = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(label).alias("label"), O.weight_settings(w, kind).alias("settings")) for i, (label, w, kind) in enumerate(variants)])
     obs = _reweighted(source.observations.withColumn("_v", F.explode(listed)), F.col("_v.settings"))
     more = [*keys, name, f"{name}_no"]
-    obs = obs.withColumns({name: F.col("_v.label"), f"{name}_no": F.col("_v.no")}).drop("_v")
+    obs = retained(obs.withColumns({name: F.col("_v.label"), f"{name}_no": F.col("_v.no")}).drop("_v"), "variants")
     rows = assign(obs, source.config, keys=more)
     other = _result(obs, rows, source.config, more)
     labels = other.observations.select(*more, "obs_id")

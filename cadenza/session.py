@@ -6,10 +6,11 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -32,6 +33,17 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     return spark
 
 
+def retained(df: DataFrame, what: str = "table") -> DataFrame:
+    """Writes a table once to the shared folder and reads it back.
+
+    What reads it afterwards has a short plan, real sizes, and no lineage that
+    a lost executor could make run again.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the workers, once per application, so that grouped functions can import it there."""
     sc = spark.sparkContext
