@@ -198,7 +198,7 @@ def fuse(rows: DataFrame, model: Model) -> DataFrame:
     for p in parts[1:]:
         total = F.zip_with(total, p, lambda a, b: a + b)
     done = joined.withColumn("fused", _softmax(total))
-    best = lambda c: F.element_at(names, F.array_position(F.col(c), F.array_max(c)).cast("int"))
+    best = lambda c: F.when(F.col(c).isNotNull(), F.element_at(names, F.array_position(F.col(c), F.array_max(c)).cast("int")))
     done = done.withColumns({"lang": F.coalesce(best("fused"), F.lit("und")), "posterior": F.coalesce(F.array_max("fused"), F.lit(0.0)), "text_lang": F.coalesce(best("alone"), F.lit("und"))})
     return done.withColumn("kept", F.col("posterior") >= CERTAIN).drop("evidence", "alone", "fused", "h", "hp", "h_prior")
 
