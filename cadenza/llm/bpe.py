@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from . import vocab
 from .common import exact, pieces
 
-#: Entries of each memo of a worker; beyond that it starts afresh.
-MEMO = 400_000
+#: Entries of each memo of a worker, in two generations; the older one goes when the younger is full.
+MEMO = 600_000
 
 
 def lookahead(merges: Iterable[tuple[bytes, bytes]]) -> int:
@@ -42,6 +42,8 @@ class Transducer:
     """Bytes of one split part in, token ids out, in constant memory."""
 
     def __init__(self, v: vocab.Vocabulary):
+        import ahocorasick
+
         self.ids = v.ids
         self.window = lookahead(v.merges)
         self.rank: dict[int, int] = {}
@@ -51,6 +53,7 @@ class Transducer:
             if self.rank.setdefault(x << 32 | y, r) == r:
                 self.halves.setdefault(made, (x, y))
         self.formed = {t: self.rank[x << 32 | y] for t, (x, y) in self.halves.items()}
+        self.length = {t: len(x) for x, t in v.ids.items()}
         self._compatible: dict[int, bool] = {}
         #: Tokens whose own bytes merge into them; others never occur.
         self.sound = {t for t in v.ids.values() if t not in self.halves}
@@ -58,6 +61,11 @@ class Transducer:
             x, y = self.halves[t]
             if x in self.sound and y in self.sound and self._undisturbed(x, y, self.formed[t]):
                 self.sound.add(t)
+        self.ending = ahocorasick.Automaton()
+        for data, t in v.ids.items():
+            if t in self.sound:
+                self.ending.add_word(data.decode("latin-1"), (t, len(data)))
+        self.ending.make_automaton()
 
     def _undisturbed(self, x: int, y: int, limit: int) -> bool:
         """Whether no merge across the border of ``x`` and ``y`` comes before merge number ``limit``.
@@ -91,11 +99,38 @@ class Transducer:
         return known
 
     def part(self, data: bytes) -> list[int]:
-        """The tokens of one split part."""
-        token = self.ids.get(data)
-        if token is not None and token in self.sound:
-            return [token]
-        return list(self.stream(data))
+        """The tokens of one split part.
+
+        Up to the window's length nothing has to be given out early: an
+        automaton of all tokens tells which ones end at each byte, longest
+        first, and the compatible one among them is the state's next entry.
+        """
+        n = len(data)
+        if n > self.window:
+            return list(self.stream(data))
+        memo, compatible = self._compatible, self.compatible
+        last, done = [-1] * (n + 1), 0
+        for place, (token, length) in self.ending.iter(data.decode("latin-1")):
+            place += 1
+            if place == done:
+                continue
+            if place != length:
+                before = last[place - length]
+                ok = memo.get(before << 32 | token)
+                if ok is None:
+                    ok = compatible(before, token)
+                if not ok:
+                    continue
+            last[place] = token
+            done = place
+        if last[n] < 0:
+            raise ValueError("the vocabulary lacks a byte")
+        out, size = [], self.length
+        while n:
+            token = last[n]
+            out.append(token)
+            n -= size[token]
+        return out[::-1]
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
         """Emits each token as soon as no further byte can change it."""
@@ -159,27 +194,29 @@ class Encoder:
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(v.special, key=len, reverse=True))) + ")") if v.special else None
         self.transducer = Transducer(v)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _segment(self, text: str) -> list[bytes]:
-        memo, out = self.memo, []
         parts = self.split.findall(text)
-        out = list(map(memo.get, parts))
+        out = list(map(self.memo.get, parts))
         if None in out:
-            if len(memo) >= MEMO:
-                memo.clear()
-            part = self.transducer.part
             for i, known in enumerate(out):
                 if known is None:
-                    word = parts[i]
-                    known = memo.get(word)
-                    if known is None:
-                        ids = part(word.encode())
-                        known = b"".join([x.to_bytes(4, "little") for x in ids])
-                        if len(word) <= 64:
-                            memo[word] = known
-                    out[i] = known
+                    out[i] = self._part(parts[i])
         return out
 
+    def _part(self, word: str) -> bytes:
+        known = self.memo.get(word)
+        if known is None:
+            known = self.older.get(word)
+            if known is None:
+                known = b"".join([x.to_bytes(4, "little") for x in self.transducer.part(word.encode())])
+            if len(word) <= 64:
+                if len(self.memo) >= MEMO // 2:
+                    self.memo, self.older = {}, self.memo
+                self.memo[word] = known
+        return known
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.special_split is None or not any(s in text for s in self.special):
