@@ -152,16 +152,23 @@ def _relaxation(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int
     return [(basis[:, j].astype(np.int64), max(0.0, float(x[j]))) for j in range(n)]
 
 
+#: Shares of the capacity up to which lengths may count as small.
+SMALL = (8, 4, 3, 2)
+
+
 def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 32, small: int | None = None) -> Plan:
     """The plan for so many pieces of each length; see the module's text for the four steps.
 
     ``groups``: how many sizes the large lengths are rounded up to. ``small``:
-    lengths up to this are left to best fit (default: an eighth of the capacity).
+    lengths up to this are left to best fit; by default the shares in SMALL are
+    tried, since a plan costs the driver less than a second, and the fewest
+    sequences win (of equal plans the one that leaves least to best fit).
     """
+    if small is None:
+        return min((plan_packing(histogram, capacity, groups, capacity // k) for k in SMALL), key=lambda p: p.sequences)
     histogram = {int(k): int(v) for k, v in histogram.items() if v > 0}
     if any(not 0 < k <= capacity for k in histogram):
         raise ValueError("a length is outside 1..capacity")
-    small = capacity // 8 if small is None else small
     used: dict[int, int] = defaultdict(int)
     runs: list[tuple[int, int, int, int, int]] = []
     made = 0
