@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from .scalars import clamp01, col
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with the value computed once, also where f uses it for every entry of an array.
+
+    An expression outside a lambda is otherwise inlined into it and computed
+    anew for each entry.
+    """
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def doubles(v: Column | str) -> Column:
     return col(v).cast("array<double>")
 
@@ -44,9 +53,12 @@ def rms_distance(a: Column | str, b: Column | str) -> Column:
 def l2_normalized(v: Column | str, single: bool = False) -> Column:
     """Unit length, or null for a (nearly) zero vector; ``single`` rounds the entries to 32-bit floats."""
     v = doubles(v)
-    norm = F.sqrt(squared_norm(v))
-    unit = F.transform(v, lambda x: x / norm)
-    return F.when((F.size(v) > 0) & (norm > 1e-12), unit.cast("array<float>") if single else unit)
+
+    def scaled(norm: Column) -> Column:
+        unit = F.transform(v, lambda x: x / norm)
+        return F.when((F.size(v) > 0) & (norm > 1e-12), unit.cast("array<float>") if single else unit)
+
+    return bound(F.sqrt(squared_norm(v)), scaled)
 
 
 def cosine_similarity(a: Column | str, b: Column | str) -> Column:
@@ -81,7 +93,7 @@ def cosine_agreement(a: Column | str, b: Column | str) -> Column:
 
 def centered(v: Column | str) -> Column:
     v = doubles(v)
-    return F.transform(v, lambda x: x - total(v) / F.size(v))
+    return bound(total(v) / F.size(v), lambda mean: F.transform(v, lambda x: x - mean))
 
 
 def sqrt_weighted(v: Column | str, weights: Column | str) -> Column:
@@ -107,9 +119,8 @@ def assignment_confidence(costs: Column | str) -> Column:
 def candidate_costs(distances: Column | str) -> Column:
     """Distances in units of the second smallest; 0 for a single candidate."""
     d = doubles(distances)
-    low = two_smallest(d)
-    scale = F.greatest(F.try_element_at(low, F.lit(2)), F.lit(1e-12))
-    return F.when(F.size(d) > 1, F.transform(d, lambda x: x / scale)).otherwise(F.transform(d, lambda x: F.lit(0.0)))
+    scale = F.greatest(F.try_element_at(two_smallest(d), F.lit(2)), F.lit(1e-12))
+    return F.when(F.size(d) > 1, bound(scale, lambda s: F.transform(d, lambda x: x / s))).otherwise(F.transform(d, lambda x: F.lit(0.0)))
 
 
 def first_argmin(values: Column | str) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import AlignmentConfig
 from ..functions.distribution import distribution
 from ..functions.text import decimals, optional_decimals
+from ..operators.segments import acoustic_profiles, embedding_profiles
 from .diarization import KEYS, Result
 
 LEVELS = ("conversation", "diagnostic", "complete")
@@ -36,8 +37,13 @@ def transcript_context(attributed: DataFrame, keys: Sequence[str] = KEYS) -> Dat
     return out.select(*keys, F.struct("text", "segments", "assignedSegmentCount", "unassignedSegmentCount").alias("transcript"))
 
 
+PROFILE_PARTS = {"rms": "rms", "pitch_hz": "pitchHz", "pitch_confidence": "pitchConfidence", "centroid_hz": "centroidHz", "flatness": "flatness", "consistency": "consistency", "raw_quality": "rawQuality", "enhanced_quality": "enhancedQuality", "recovered_fraction": "recoveredObservationFraction", "view_agreement": "viewAgreement"}
+
+
 def _speakers(result: Result, keys: Sequence[str]) -> DataFrame:
-    return _listed(result.profiles, keys, "speaker", "speakers", F.col("speaker"), F.col("observation_count").alias("observationCount"), F.col("observed_s").alias("observedDurationSeconds"), F.col("centroid").alias("acousticCentroid"), F.col("dispersion").alias("acousticDispersion"))
+    full = full_profiles(result, keys)
+    parts = [F.col(c).alias(n) for c, n in PROFILE_PARTS.items() if c in full.columns]
+    return _listed(full, keys, "speaker", "speakers", F.col("speaker"), F.col("observation_count").alias("observationCount"), F.col("observed_s").alias("observedDurationSeconds"), F.col("centroid").alias("acousticCentroid"), F.col("dispersion").alias("acousticDispersion"), F.col("evidence_count").alias("embeddingEvidenceCount"), F.col("embedding_dispersion").alias("embeddingDispersion"), *parts)
 
 
 def _observations(result: Result, keys: Sequence[str]) -> DataFrame:
@@ -63,6 +69,23 @@ def _noise(evidence: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _listed(evidence, keys, "id", "noiseEvidence", F.col("id").alias("observationID"), F.col("noise_likelihood").alias("likelihood"), *[F.col(c).alias(n) for n, c in parts.items()])
 
 
+def full_profiles(result: Result, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Profiles with what a speaker's embeddings and frames say, over observations that smoothing left alone."""
+    by = [*keys, "speaker"]
+    own = result.assignments.where("not changed_by_continuity").select(*by, "obs_id")
+    rows = own.join(result.observations.select(*keys, "obs_id", "frame_ids", "agreement", "embedding"), [*keys, "obs_id"])
+    spoken = embedding_profiles(rows, by, "embedding").select(*by, "evidence_count", F.col("dispersion").alias("embedding_dispersion"))
+    out = result.profiles.join(spoken, by, "left")
+    if result.frames is None:
+        return out
+    return out.join(acoustic_profiles(rows.select(*by, "frame_ids", "agreement"), result.frames, keys, result.enhanced), by, "left")
+
+
+def write_context(contexts: DataFrame, path: str, keys: Sequence[str] = KEYS) -> None:
+    """One JSON line per session, a folder for each."""
+    context_json(contexts, keys).write.partitionBy(*keys).text(path)
+
+
 def context(result: Result, attributed: DataFrame | None, detail: str = "conversation", keys: Sequence[str] = KEYS, alignment: AlignmentConfig = AlignmentConfig()) -> DataFrame:
     """One row per session: ``context``, a struct whose parts depend on the level.
 
