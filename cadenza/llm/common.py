@@ -44,30 +44,53 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL_DIRS[app]}"
 
 
-def new_path(spark: SparkSession, what: str) -> str:
-    """An unused path in the shared folder."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+_CLEANED: set[str] = set()
 
 
-def materialize(df: DataFrame, what: str = "table") -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back.
+def new_path(spark: SparkSession, what: str) -> str:
+    """An unused path in this application's part of the shared folder, which is removed when the driver ends."""
+    app = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if app not in _CLEANED:
+        _CLEANED.add(app)
+        atexit.register(_remove_quietly, spark, app)
+    return f"{app}/{what}-{uuid.uuid4().hex}"
 
-    The result has no lineage but the files, and real sizes, which adaptive
-    execution uses to choose joins and to split skewed partitions.
-    """
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def _remove_quietly(spark: SparkSession, path: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            remove(spark, path)
+    except Exception:  # noqa: BLE001, S110  the session may be gone already
+        pass
 
-def drop_paths(spark: SparkSession, *paths: str) -> None:
-    """Removes tables of the shared folder that no later step reads."""
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes files or folders that no later step reads."""
     jvm = spark.sparkContext._jvm
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Written:
+    """A table in the shared folder: ``df`` reads it, ``drop`` removes it once nothing reads it any more."""
+
+    def __init__(self, df: DataFrame, what: str):
+        self.spark, self.path = df.sparkSession, new_path(df.sparkSession, what)
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        remove(self.spark, self.path)
+
+
+def materialize(df: DataFrame, what: str = "table") -> DataFrame:
+    """Writes ``df`` once to the shared folder and reads it back.
+
+    The result has no lineage but the files, and real sizes, which adaptive
+    execution uses to choose joins and to split skewed partitions.
+    """
+    return Written(df, what).df
 
 
 #: Rows of an Arrow batch: texts can be long, and a batch is in memory on both sides.
@@ -137,23 +160,26 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     can split the rows of a node with very many neighbours.
     No edges: an empty table. Self links and repeated links change nothing.
     """
-    spark = edges.sparkSession
-    e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    e = materialize(e, "edges")
+    first = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
+    table = Written(first, "edges")
     state = None
     for _ in range(max_rounds):
+        e = table.df
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = materialize(e.join(low, e["lo"] == low["u"]).select("hi", F.col("m").alias("lo")).distinct(), "large")
-        low2 = materialize(large.groupBy("hi").agg(F.min("lo").alias("m")), "low2")
-        joined = large.join(low2.withColumnRenamed("hi", "u"), F.col("hi") == F.col("u"))
-        small = joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(low2.select("hi", F.col("m").alias("lo"))).distinct()
-        e = materialize(small, "edges")
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
+        low = Written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = Written(e.join(low.df, e["lo"] == low.df["u"]).select("hi", F.col("m").alias("lo")).distinct(), "large")
+        low2 = Written(large.df.groupBy("hi").agg(F.min("lo").alias("m")), "low2")
+        joined = large.df.join(low2.df.withColumnRenamed("hi", "u"), F.col("hi") == F.col("u"))
+        small = joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(low2.df.select("hi", F.col("m").alias("lo"))).distinct()
+        used, table = [table, low, large, low2], Written(small, "edges")
+        for t in used:
+            t.drop()
+        now = table.df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
         if state == (now["n"], now["h"]):
             break
         state = (now["n"], now["h"])
     else:
         raise RuntimeError("the components did not settle")
+    e = table.df
     roots = e.select(F.col("lo").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)

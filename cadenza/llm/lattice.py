@@ -247,7 +247,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     rows = exact(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     fine = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = rows.where(F.coalesce(fine, F.lit(False)))
-    equal = usable.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
+    equal = materialize(usable.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "equal")
 
     def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
