@@ -85,3 +85,8 @@ def aligned(transcript: DataFrame, segments: DataFrame, keys: Sequence[str], con
 def attributed(transcript: DataFrame, alignment: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All utterances, with their assignment where there is one."""
     return transcript.join(alignment.withColumnRenamed("confidence", "speaker_confidence"), [*keys, "utterance"], "left")
+
+
+def by_method(alignment: DataFrame, method: str) -> DataFrame:
+    """The assignments that were made one way: temporalOverlap, bridgedGap or nearestEvidence."""
+    return alignment.where(F.col("method") == method)

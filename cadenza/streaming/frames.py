@@ -8,7 +8,7 @@ cannot know the rest; a one-shot run uses the whole session.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,6 +52,11 @@ def frame_stream(chunks: DataFrame, config: AcousticConfig = AcousticConfig(), b
     return rows.groupBy("session_id").applyInPandasWithState(run, FRAME_SCHEMA, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def twin_streams(chunks: DataFrame, enhance: Callable[[DataFrame], DataFrame], config: AcousticConfig = AcousticConfig(), batch_seconds: float = 4.0) -> tuple[DataFrame, DataFrame]:
+    """The raw and the enhanced view of one chunk stream; both see the same chunks, so their frames have the same grid."""
+    return frame_stream(chunks, config, batch_seconds), frame_stream(enhance(chunks), config, batch_seconds)
+
+
 def assembled(frames: DataFrame, config: AcousticConfig = AcousticConfig()) -> DataFrame:
     """Classified frames of what a stream (or a batch run) has written.
 

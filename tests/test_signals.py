@@ -173,3 +173,21 @@ def test_wav(spark, tmp_path):
 def test_sample_range(spark):
     df = spark.createDataFrame([(12.25, 12.75, 12.0, 16000, 16000), (20.0, 20.5, 12.0, 16000, 16000)], "s double, e double, a double, r int, n int")
     assert [tuple(r["x"]) if r["x"] else None for r in df.select(G.sample_range("s", "e", "a", "r", "n").alias("x")).collect()] == [(4000, 12000), None]
+
+
+def test_reports(result):
+    from cadenza.config import FeatureWeights
+    from cadenza.plans import reports as RP
+
+    other = P.replay(result, representation="embedding")
+    assert RP.embedding_counts(result).first()["n_missing"] == 0
+    assert RP.change_span_lines(result, other).count() == RP.changes(result, other).count() == 0
+    swapped = P.replace(result, assignments=result.assignments.withColumn("resolved_speaker", F.lit("speaker_9")))
+    line = RP.changes(result, swapped).select(RP.change_line().alias("l")).first()["l"]
+    assert "-> speaker_9, confidence" in line
+    assert RP.change_span_lines(result, swapped).count() >= 2
+    assert RP.weights_line(FeatureWeights()).startswith("mfcc 1.000, logMel 0.750")
+    assert RP.timing_lines({"a": 1.0, "b": 0.0})[-1] == "total wall time: 1.000s"
+    assert "weighted SSE" in RP.clustering_line(result.evaluation).first()["line"]
+    profiles = CX.full_profiles(result)
+    assert profiles.select(RP.embedding_profile_line().alias("l")).first()["l"].startswith("speaker_")
