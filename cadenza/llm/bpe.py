@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -133,31 +134,37 @@ class Transducer:
         return out[::-1]
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
-        """Emits each token as soon as no further byte can change it."""
-        ids, window, sound, memo, compatible = self.ids, self.window, self.sound, self._compatible, self.compatible
-        recent = b""  # the bytes since place `base`
+        """Emits each token as soon as no further byte can change it.
+
+        Bytes are read a window at a time; the automaton keeps its place
+        between them.
+        """
+        window, memo, compatible = self.window, self._compatible, self.compatible
         begin: list[int] = [0]  # for each place since `base`: where its last token began, counted from `base`
         last: list[int] = [-1]  # and that token; -1 only before the first byte
-        end = 0
-        for byte in data:
-            recent += bytes((byte,))
-            end += 1
-            for at in range(end - window if end > window else 0, end):
-                token = ids.get(recent[at:])
-                if token is not None and token in sound:
-                    before = last[at]
-                    if before < 0:
-                        ok = True
-                    else:
-                        ok = memo.get(before << 32 | token)
-                        if ok is None:
-                            ok = compatible(before, token)
-                    if ok:
-                        begin.append(at)
-                        last.append(token)
-                        break
+        base = 0
+        source, found = iter(data), None
+        while block := bytes(islice(source, window)):
+            text = block.decode("latin-1")
+            if found is None:
+                found = self.ending.iter(text)
             else:
-                raise ValueError("the vocabulary lacks a byte")
+                found.set(text)
+            for place, (token, length) in found:
+                end = place + 1 - base
+                if end < len(last):
+                    continue
+                at = end - length
+                before = last[at]
+                if before >= 0:
+                    ok = memo.get(before << 32 | token)
+                    if ok is None:
+                        ok = compatible(before, token)
+                    if not ok:
+                        continue
+                begin.append(at)
+                last.append(token)
+            end = len(last) - 1
             if end >= 4 * window:
                 # Do the paths back from all places that a token to come may start at meet after `base`?
                 alive = set(range(end - window + 1, end + 1))
@@ -168,9 +175,9 @@ class Transducer:
                 meet = alive.pop()
                 if meet > 0:
                     yield from self._back(begin, last, meet)
-                    recent, last, end = recent[meet:], last[meet:], end - meet
+                    last, base = last[meet:], base + meet
                     begin = [max(0, p - meet) for p in begin[meet:]]
-        yield from self._back(begin, last, end)
+        yield from self._back(begin, last, len(last) - 1)
 
     @staticmethod
     def _back(begin: list[int], last: list[int], place: int) -> list[int]:

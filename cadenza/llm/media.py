@@ -12,8 +12,10 @@ are looked at only where the format is a container of arbitrary bytes.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -161,23 +163,48 @@ def _mp4(d: bytes, at: int) -> int | None:
     return p - at if boxes >= 2 else None
 
 
-def _pdf(d: bytes, at: int) -> int | None:
+class Trailers:
+    """Where the trailers of a value stand, found once however many headers there are."""
+
+    def __init__(self, data: bytes):
+        self.data, self._at = data, {}
+
+    def at(self, mark: bytes) -> list[int]:
+        if mark not in self._at:
+            self._at[mark] = [m.start() for m in re.finditer(re.escape(mark), self.data)]
+        return self._at[mark]
+
+    def last_before(self, mark: bytes, start: int, stop: int) -> int:
+        """The last place of a mark within [start, stop), or -1."""
+        places = self.at(mark)
+        k = bisect_left(places, stop) - 1
+        return places[k] if k >= 0 and places[k] >= start else -1
+
+    def archives(self) -> dict[int, int]:
+        """Beginning -> end of what each end-of-directory record of a ZIP file describes."""
+        if None not in self._at:
+            found, d = {}, self.data
+            for p in reversed(self.at(b"PK\x05\x06")):
+                if p + 22 <= len(d):
+                    size, start = struct.unpack_from("<II", d, p + 12)
+                    found[p - size - start] = p + 22 + struct.unpack_from("<H", d, p + 20)[0]
+            self._at[None] = found
+        return self._at[None]
+
+
+def _pdf(d: bytes, at: int, trailers: Trailers) -> int | None:
+    """Up to the last end mark before the next header; a cross-reference must stand before it."""
     if not d[at + 5 : at + 6].isdigit():
         return None
-    end, after = d.find(b"%%EOF", at), d.find(b"%PDF-", at + 5)
-    while end >= 0 and (nxt := d.find(b"%%EOF", end + 5)) >= 0 and (after < 0 or nxt < after):
-        end = nxt
-    return None if end < 0 or d.find(b"startxref", at, end) < 0 else end + 5 - at
+    heads = trailers.at(b"%PDF-")
+    k = bisect_right(heads, at)
+    end = trailers.last_before(b"%%EOF", at, heads[k] if k < len(heads) else len(d))
+    return None if end < 0 or trailers.last_before(b"startxref", at, end) < 0 else end + 5 - at
 
 
-def _zip(d: bytes, at: int) -> int | None:
-    p = at
-    while (p := d.find(b"PK\x05\x06", p)) >= 0 and p + 22 <= len(d):
-        size, start = struct.unpack_from("<II", d, p + 12)
-        if p - size - start == at:
-            return p + 22 + struct.unpack_from("<H", d, p + 20)[0] - at
-        p += 4
-    return None
+def _zip(d: bytes, at: int, trailers: Trailers) -> int | None:
+    end = trailers.archives().get(at)
+    return end - at if end is not None and end <= len(d) else None
 
 
 def _gzip(d: bytes, at: int) -> int | None:
@@ -209,6 +236,10 @@ VALIDATORS = {
 }
 
 
+#: Formats whose end is known by a trailer only.
+WITH_TRAILERS = {"application/pdf", "application/zip"}
+
+
 @lru_cache(maxsize=1)
 def _automaton():
     import ahocorasick
@@ -229,11 +260,13 @@ def items(data: bytes) -> list[tuple[str, int, int]]:
     """
     out: list[tuple[str, int, int]] = []
     done: dict[str, int] = {}
+    trailers = Trailers(data)
     for end, (kind, back, size) in _automaton().iter(data.decode("latin-1")):
         at = end - size + 1 - back
         if at < 0 or at < done.get(kind, 0):
             continue
-        n = VALIDATORS[kind](data, at)
+        check = VALIDATORS[kind]
+        n = check(data, at, trailers) if kind in WITH_TRAILERS else check(data, at)
         if n:
             out.append((kind, at, n))
             if kind in ("audio/ogg", "application/pdf", "application/zip"):

@@ -48,10 +48,13 @@ LEET = {"4": "a", "@": "a", "8": "b", "(": "c", "3": "e", "€": "e", "6": "g",
 
 _SYMBOLS = re.escape("".join(LEET))
 WORD = re.compile(r"[^\W\d_]+")
-#: A token with a symbol that is followed by a letter or stands between letters, and at least two letters.
-LEETED = re.compile(rf"(?<![^\s\"'(\[])(?=[^\s]*[{_SYMBOLS}][^\W\d_]|[^\s]*[^\W\d_][{_SYMBOLS}][{_SYMBOLS}]*[^\W\d_])[\w{_SYMBOLS}]{{3,24}}(?![\w{_SYMBOLS}=:/])")
+#: Runs of letters, digits and symbols that may be words in disguise, by length; what may stand before one, and what not after.
+CHUNK = re.compile(rf"[\w{_SYMBOLS}]+")
+SHORTEST, LONGEST = 3, 24
+BEFORE, NOT_AFTER = set("\"'([ \t\r\n\f\v"), set("=:/")
+#: A symbol that a letter follows.
+LEETED = re.compile(rf"[{_SYMBOLS}]+[^\W\d_]")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
-REPEATED = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
 SPACED = re.compile(rf"(?<![\w{_SYMBOLS}])[\w{_SYMBOLS}](?:[ .\-_*]{{1,2}}[\w{_SYMBOLS}]){{3,}}(?![\w{_SYMBOLS}])")
 _SEPARATORS = " .-_*"
 
@@ -105,27 +108,40 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
 
 def restore(token: str, model: CharModel) -> str:
     """The likeliest reading of a disguised token: Viterbi over (lattice place, last two characters)."""
-    states: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
+    # A reading is a chain of (reading before, letters), so that long tokens cost no more a step than short ones.
+    states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
     for ways in _lattice(token):
-        reached: dict[str, tuple[float, str]] = {}
-        for context, (score, text) in states.items():
+        reached: dict[str, tuple[float, tuple | None]] = {}
+        for context, (score, chain) in states.items():
             for letters, cost in ways:
                 s, c = score + cost, context
                 for x in letters:
                     s += model.step(c, x)
                     c = c[1] + x
                 if c not in reached or s > reached[c][0]:
-                    reached[c] = (s, text + letters)
+                    reached[c] = (s, (chain, letters) if letters else chain)
         states = reached
-    return max((score + model.step(c, "$"), text) for c, (score, text) in states.items())[1]
+    best = max(states, key=lambda c: (states[c][0] + model.step(c, "$"), c))
+    out, chain = [], states[best][1]
+    while chain is not None:
+        chain, letters = chain
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 _SYMBOL = re.compile(f"[{_SYMBOLS}]")
 
 
-def disguised(low: str) -> list[str]:
-    """The parts of a lower-case text that look disguised."""
-    return [m.group().strip(_SEPARATORS) for pattern in (LEETED, REPEATED, SPACED) for m in pattern.finditer(low)]
+def leeted(text: str) -> Iterator[re.Match]:
+    """Runs with a symbol before a letter, set off like a word."""
+    for m in CHUNK.finditer(text):
+        if SHORTEST <= m.end() - m.start() <= LONGEST and (m.start() == 0 or text[m.start() - 1] in BEFORE) and (m.end() == len(text) or text[m.end()] not in NOT_AFTER) and LEETED.search(m.group()):
+            yield m
+
+
+def stretched(text: str) -> Iterator[re.Match]:
+    """Words with three of a letter in a row."""
+    return (m for m in WORD.finditer(text) if TRIPLE.search(m.group()))
 
 
 class Reader:
@@ -142,10 +158,10 @@ class Reader:
     def _words(self, token: str) -> tuple[str, ...]:
         found = WORD.findall(token)
         if _SYMBOL.search(token):
-            for m in LEETED.finditer(token):
+            for m in leeted(token):
                 found += WORD.findall(restore(m.group(), self.model))
         if TRIPLE.search(token):
-            found += [restore(m.group(), self.model) for m in REPEATED.finditer(token)]
+            found += [restore(m.group(), self.model) for m in stretched(token)]
         return tuple(w for w in found if self.wanted(w)) if self.wanted else tuple(found)
 
     def words(self, text: str) -> set[str]:
@@ -166,8 +182,12 @@ class Reader:
     def restored_text(self, text: str) -> str:
         """The text, lower case, with disguised parts replaced by their readings."""
         low = text.lower()
-        for pattern in (SPACED, LEETED, REPEATED):
-            low = pattern.sub(lambda m: restore(m.group().strip(_SEPARATORS), self.model), low)
+        for find in (SPACED.finditer, leeted, stretched):
+            out, at = [], 0
+            for m in find(low):
+                out += [low[at : m.start()], restore(m.group().strip(_SEPARATORS), self.model)]
+                at = m.end()
+            low = "".join([*out, low[at:]])
         return low
 
 

@@ -162,3 +162,14 @@ def test_stored_media(edges, empty):
         assert r["media_bytes"] == len(r["media"]) and r["media_sha256"] == hashlib.sha256(bytes(r["media"])).hexdigest()
     assert got[7]["feature"] == got[8]["feature"]
     assert media.stored_media(empty).count() == 0
+
+
+def test_many_headers_are_cheap():
+    """A text full of headers, with and without a trailer, is read in time in proportion to its length."""
+    import time
+
+    for tail in (b"", b"%%EOF", b"startxref 0 %%EOF"):
+        began = time.process_time()
+        found = media.items(b"%PDF-1 BM GIF89a ftyp OggS " * 40_000 + tail)
+        assert time.process_time() - began < 10
+        assert len(found) == (tail.startswith(b"start"))
