@@ -57,14 +57,14 @@ def trace_rows(result: Result, blocks: DataFrame | None = None, keys: Sequence[s
     ``blocks`` (keys, start_s, end_s, gain_db) are enhancement blocks.
     """
     obs, a = result.observations, result.assignments
-    last = lambda c: F.max_by(c, "obs_id", ).alias(c)
+    last = lambda c: F.max_by(c, "obs_id").alias(c)
     members = obs.select(*keys, "obs_id", F.explode("frame_ids").alias("id"), F.col("agreement.combined").alias("view_agreement"))
     told = a.select(*keys, "obs_id", F.col("speaker").alias("acoustic_speaker"), F.col("changed_by_continuity").alias("temporal_adjusted"), F.col("confidence").alias("speaker_acoustic_confidence"), F.col("reliability").alias("speaker_reliability"), F.col("evidence_strength").alias("speaker_evidence_strength"), F.col("resolved_confidence").alias("speaker_resolved_confidence"))
     owner = result.segments.select(*keys, F.col("speaker"), F.explode("observation_ids").alias("obs_id"))
     told = members.join(told, [*keys, "obs_id"], "left").join(owner, [*keys, "obs_id"], "left")
     names = [c for c in told.columns if c not in (*keys, "obs_id", "id")]
     per_frame = told.groupBy(*keys, "id").agg(*[last(c) for c in names])
-    f = (result.evidence if result.evidence is not None else result.frames).select("*")
+    f = result.evidence if result.evidence is not None else result.frames
     rows = f.join(per_frame, [*keys, "id"], "left")
     if result.enhanced is not None:
         rows = rows.join(result.enhanced.select(*keys, "id", F.col("rms").alias("enhanced_rms"), F.col("quality_score").alias("enhanced_quality")), [*keys, "id"], "left")
