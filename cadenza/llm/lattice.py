@@ -242,7 +242,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     A vector that is null, empty or zero, or holds null, NaN or infinity, links
     with nothing, as does a row without a vec_id; vectors of different
     dimension never link. Equal vectors link, each repeated row counting as a
-    vector. Empty table: empty result.
+    vector. Rows that share a vec_id but not their vector count as copies of one
+    another. Empty table: empty result.
     """
     rows = exact(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     fine = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -278,7 +279,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     found = materialize(full.repartition(*by).sortWithinPartitions(*by).mapInArrow(lambda x: _verify(x, threshold, tables, probes, scale), "a long, b long, n long"), "found")
     classes = connected_components(found.where("b is not null").select("a", "b"))
     linked = found.where("b is null").groupBy("a").agg(F.sum("n").alias("others"))
-    of_node = distinct.select("node", "copies").join(linked, F.col("node") == F.col("a"), "left").select("node", "copies", "others").join(classes, "node", "left")
+    of_node = distinct.groupBy("node").agg(F.sum("copies").alias("copies")).join(linked, F.col("node") == F.col("a"), "left").select("node", "copies", "others").join(classes, "node", "left")
     of_node = materialize(of_node.select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "classes")
     # Rows find their class through the least vec_id of the equal ones; a row that is one of a kind is its own.
     named = usable.select("vec_id", "v").join(equal.where("copies > 1").select(F.col("v").alias("w"), "node"), F.col("v") == F.col("w"), "left").select("vec_id", F.coalesce("node", "vec_id").alias("node"))

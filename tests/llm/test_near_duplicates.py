@@ -206,3 +206,9 @@ def test_lattice_points():
     assert around.shape == (240, 8) and np.allclose((around**2).sum(1), 2)
     d = ((y - p) ** 2).sum(1)
     assert (d <= 1 + 1e-9).all() and (d[:, None] <= ((y[:, None] - p[:, None] - around) ** 2).sum(2) + 1e-9).all()
+
+
+def test_one_id_with_two_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [-1.0, -1.0])], "vec_id long, embedding array<float>")
+    got = sorted((r["vec_id"], r["component_id"], r["kept"]) for r in lattice.near_duplicates(df).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
