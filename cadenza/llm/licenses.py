@@ -11,7 +11,8 @@ adds nothing.
 
 License texts are wrapped in some places and listed line by line in others. So
 a text is read twice, line ends being blanks or ends of sentences, and the
-reading that recognises more sentences counts (the first, if equal).
+reading that recognises more sentences counts (the first, if equal). Addresses
+and empty lines end a sentence in both.
 """
 
 from __future__ import annotations
@@ -68,12 +69,74 @@ RULES = [
     (["AllRights"], "Proprietary"),
 ]
 
+#: GNU licenses, what their identifiers begin with, and their versions; Creative Commons licenses likewise.
+_GNU = [("general", "GPL", ("2", "3")), ("lesser general", "LGPL", ("2.1", "3")), ("affero general", "AGPL", ("3",))]
+_CC = {"attribution-sharealike": "BY-SA", "attribution-noncommercial": "BY-NC", "attribution-noderivatives": "BY-ND", "attribution-noncommercial-sharealike": "BY-NC-SA", "attribution-noncommercial-noderivatives": "BY-NC-ND"}
+
+#: Further sentences, as the readings really cut unmodified texts. They stand apart, since the SQL of
+#: the query knows ``SENTENCES`` and ``RULES`` only; texts without any of them have the same result by both.
+WHOLE_SENTENCES = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MitGrant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MitWarranty",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "MitLiability",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BsdWarranty",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "this source code form is subject to the terms of the mozilla public license v": "MplTerms",
+    "if a copy of the mpl was not distributed with this file you can obtain one at": "MplCopy",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZlibGrant",
+    "distributed under the boost software license version 1.0": "BoostRef",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third-parties to whom the software is furnished to do so all subject to the following": "BoostGrant",
+    "this is free and unencumbered software released into the public domain": "UnlicenseDomain",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non-commercial and by any means": "UnlicenseGrant",
+    "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work": "Cc0Waiver",
+    **{f"this {what} is free software": "GnuFree" for what in ("program", "library")},
+    **{f"this {what} is distributed in the hope that it will be useful but without any warranty": "GnuHope" for what in ("program", "library")},
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "GnuNoWarranty",
+    **{f"see the gnu {name} public license for more details": f"{spdx.capitalize()}See" for name, spdx, _ in _GNU[1:]},
+    **{f"you can redistribute it and or modify it under the terms of the gnu {name} public license as published by the free software foundation": f"{spdx.capitalize()}Terms" for name, spdx, _ in _GNU},
+    **{f"you can redistribute it and or modify it under the terms of the gnu {name} public license as published by the free software foundation either version {v} of the license or at your option any later version": f"{spdx.capitalize()}Later{v}" for name, spdx, versions in _GNU for v in versions},
+    **{f"you can redistribute it and or modify it under the terms of the gnu {name} public license version {v} as published by the free software foundation": f"{spdx.capitalize()}Only{v}" for name, spdx, versions in _GNU for v in versions},
+    **{f"either version {v} of the license or at your option any later version": f"GnuLater{v}" for v in ("2", "2.1", "3")},
+    **{f"version {v} of the license": f"GnuOnly{v}" for v in ("2", "2.1", "3")},
+    **{f"this work is licensed under a creative commons {name} 4.0 international license": f"Cc{spdx.title().replace('-', '')}Work4" for name, spdx in _CC.items()},
+}
+
+
+def _gnu_rules() -> list[tuple[list[str], str]]:
+    rules = []
+    for _, spdx, versions in _GNU:
+        kind = spdx.capitalize()
+        for v in versions:
+            number = v if "." in v else f"{v}.0"
+            for way, name in (("Later", f"{spdx}-{number}-or-later"), ("Only", f"{spdx}-{number}-only")):
+                rules += [([f"{kind}Terms", f"Gnu{way}{v}"], name), ([f"{kind}{way}{v}"], name)]
+    return rules
+
+
+#: The rules of these sentences. A notice's first clauses name its license, so that one whose later
+#: sentences were altered is still found.
+WHOLE_RULES = [
+    *_gnu_rules(),
+    (["IscGrant"], "ISC"),
+    (["MplTerms", "MplCopy"], "MPL-2.0"),
+    (["ZlibGrant"], "Zlib"),
+    (["BoostRef"], "BSL-1.0"),
+    (["BoostGrant"], "BSL-1.0"),
+    (["UnlicenseDomain", "UnlicenseGrant"], "Unlicense"),
+    (["UnlicenseDomain"], "Unlicense"),
+    (["Cc0Waiver"], "CC0-1.0"),
+    *[([f"Cc{spdx.title().replace('-', '')}Work4"], f"CC-{spdx}-4.0") for spdx in _CC.values()],
+]
+
 #: A rule that contains another's whole sequence stands for it.
 COVERS = {"BSD-3-Clause": ["BSD-2-Clause"]}
 
 #: Where a sentence ends: end marks before white space or the text's end, and, in the reading by lines, a line's end.
 ENDS = r"[.!?;:]+(?:[ \t\r\f\n]+|$)"
 LINE_ENDS = ENDS + r"|\n"
+#: What ends a sentence without an end mark: an address, and a line of blanks and comment signs only (after a title or a name).
+BREAKS = r"|(?<![^ \t\r\f\n(<\"'])https?://[^ \t\r\f\n]*|\n[ \t\r\f#*/;-]*\n"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OTHER = r"[^a-z0-9.+-]+"
 OUTER = r"^[ .-]+|[ .-]+$"
@@ -90,19 +153,20 @@ def scan(docs: DataFrame) -> DataFrame:
     result.
     """
     d = exact(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER).alias("low"))
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    # Only sentences as long as a known one may be known; the rest are not normalised.
-    shortest = min(map(len, SENTENCES))
+    sentences = SENTENCES | WHOLE_SENTENCES
+    known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
+    # Only sentences as long as a known one may be known; the rest are not looked up.
+    shortest = min(map(len, sentences))
 
     def ids(ends: str):
-        normal = F.transform(F.split("low", ends), lambda s: F.regexp_replace(F.regexp_replace(s, OTHER, " "), OUTER, ""))
+        normal = F.transform(F.split("low", ends + BREAKS), lambda s: F.regexp_replace(F.regexp_replace(s, OTHER, " "), OUTER, ""))
         return F.filter(F.transform(F.filter(normal, lambda s: F.length(s) >= shortest), lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
 
     none = F.expr("cast(array() as array<string>)")
     read = d.select("doc_id", F.when(F.col("low").rlike(ANCHORS), F.struct(ids(ENDS).alias("wrapped"), ids(LINE_ENDS).alias("lines"))).alias("r"))
     found = read.select("doc_id", F.when(F.col("r").isNull(), none).when(F.size("r.wrapped") >= F.size("r.lines"), F.col("r.wrapped")).otherwise(F.col("r.lines")).alias("ids"))
     line = F.concat(F.lit(","), F.concat_ws(",", "ids"), F.lit(","))
-    rules = F.array(*[F.struct(F.lit("," + ",".join(seq) + ",").alias("sequence"), F.lit(name).alias("license")) for seq, name in RULES])
+    rules = F.array(*[F.struct(F.lit("," + ",".join(seq) + ",").alias("sequence"), F.lit(name).alias("license")) for seq, name in RULES + WHOLE_RULES])
     held = F.array_distinct(F.transform(F.filter(rules, lambda r: F.contains(F.col("line"), r["sequence"])), lambda r: r["license"]))
     for name, less in COVERS.items():
         held = F.when(F.array_contains(held, name), F.array_except(held, F.array(*map(F.lit, less)))).otherwise(held)

@@ -104,6 +104,66 @@ def test_licenses(make_docs, empty):
     assert all(anchors.search(s) or "except in compliance" in s for s in licenses.SENTENCES if "gnu" not in s and "you may" not in s and "conditions are met" not in s)
 
 
+#: Unmodified official texts.
+MIT = """MIT License
+
+Copyright (c) 2024 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL3 = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+#
+# You should have received a copy of the GNU General Public License
+# along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+LGPL21 = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+
+
+def test_unmodified_licenses(make_docs):
+    rows = [(30, MIT), (31, GPL3), (32, APACHE), (33, LGPL21), (34, MPL), (35, ISC), (36, GPL3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2"))]
+    got = {r["doc_id"]: r for r in licenses.scan(make_docs(rows)).collect()}
+    assert [got[d]["licenses"] for d in range(30, 37)] == ["MIT", "GPL-3.0-or-later", "Apache-2.0", "LGPL-2.1-or-later", "MPL-2.0", "ISC", "GPL-2.0-or-later"]
+    assert got[30]["sentence_ids"] == "MitGrant,MitNotice,MitWarranty,MitLiability"
+    assert got[31]["sentence_ids"] == "GnuFree,GplLater3,GnuHope,GnuNoWarranty,GplSee"
+    assert got[32]["sentence_ids"] == "ApacheLicensed,ApacheUse,ApacheCopy,ApacheWarranty,ApacheSee"
+
+
 def png():
     chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
