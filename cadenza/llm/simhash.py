@@ -32,7 +32,7 @@ members, never all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -231,13 +231,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, dista
 
 
 @keeping_columns("doc_id", "text")
-def representatives(docs: DataFrame, **how) -> DataFrame:
+def representatives(docs: DataFrame, classes_of: Callable[..., DataFrame] | None = None, **how) -> DataFrame:
     """The documents that stay: of each class one whose doc_id is the class's id, all columns kept.
 
-    Rows without a doc_id stay. Decisions are tables of ids and hashes; texts
+    ``classes_of`` gives doc_id, text_hash and component_id of every row; if
+    unset, ``near_duplicates`` does, with the settings in ``how``. Rows without a doc_id stay. Decisions are tables of ids and hashes; texts
     move only as far as the join of those tables needs.
     """
-    classes = materialize(near_duplicates(docs, **how, with_hash=True).where("doc_id is not null").select("doc_id", "text_hash", "component_id"), "members")
+    found = classes_of(docs, **how) if classes_of else near_duplicates(docs, **how, with_hash=True)
+    classes = materialize(found.where("doc_id is not null").select("doc_id", "text_hash", "component_id"), "members")
     of_row = classes.groupBy("doc_id", "text_hash").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
     chosen = of_row.where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("first_hash"))
     judged = of_row.join(chosen.withColumnRenamed("doc_id", "chosen_id"), F.col("doc_id") == F.col("chosen_id"), "left")

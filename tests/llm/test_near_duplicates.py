@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from cadenza.llm import common, lattice, simhash
+import corpus_pipeline
+from cadenza.llm import common, lattice, similar, simhash
 
 from .conftest import EDGES
 
@@ -135,6 +136,43 @@ def test_representatives(make_docs, corpus, empty):
     assert simhash.representatives(empty).count() == simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.fixture(scope="module")
+def altered(corpus):
+    """Texts with 1 to 12 of 300 words changed, and a crowd of variants of one text with common lines."""
+    r, rows = random.Random(5), list(corpus)
+    for _ in range(6):
+        text = " ".join(f"w{r.randrange(400)}" for _ in range(300))
+        rows += [(len(rows) + 1000, near(text, r, k)) for k in (0, 3, 5, 7, 9, 12)]
+    text = " ".join(f"v{r.randrange(400)}" for _ in range(120))
+    rows += [(len(rows) + 1000, near(text, r, r.randrange(6))) for _ in range(60)]
+    line = " ".join(f"line{k}" for k in range(20))
+    return rows + [(len(rows) + 2000 + k, f"{line} " + " ".join(f"u{r.randrange(3000)}" for _ in range(8))) for k in range(60)]
+
+
+def of_five(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)} - {()}
+
+
+@pytest.mark.parametrize(("group", "chunk"), [(32, 256), (2, 8)])
+def test_similar_texts_against_brute_force(make_docs, altered, empty, group, chunk):
+    sets = [(d, of_five(t)) for d, t in altered if d is not None]
+    linked = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if len(x & y) >= 0.8 * len(x | y)]
+    want = components({d for d, _ in sets}, linked)
+    got = similar.near_duplicates(make_docs(altered), group=group, chunk=chunk).collect()
+    assert len(got) == len(altered)
+    assert {(r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None} == set(want.items())
+    assert similar.near_duplicates(empty).count() == 0
+
+
+def test_stage_drops_near_copies(spark, make_docs, altered):
+    """Copies of similarity 0.8 go, also where fingerprints differ in more than two bits."""
+    sets = {d: of_five(t) for d, t in altered if d is not None}
+    linked = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, make_docs(altered), "").collect()]
+    assert sorted(d for d in kept if d is not None) == sorted(set(components(sets, linked).values()))
+
+
 def brute_vectors(rows):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     n = len(good)
