@@ -12,7 +12,8 @@ chosen by how much likelier they are in documents labelled toxic (a
 log-likelihood ratio), its weights are fitted on the driver.
 
 Labels are learnt from at most ``SAMPLE`` labelled rows of each class, taken by
-a hash of doc_id, and never from rows held out. Neither labels nor lang,
+a hash of doc_id, and never from rows held out. The trigram model, which uses
+no labels, counts all documents. Neither labels nor lang,
 source or doc_id are inputs of a score.
 """
 
@@ -36,8 +37,6 @@ from .common import exact, keeping_columns, pieces
 SAMPLE = 5000
 #: Features of a model at most, and the least evidence for one (a likelihood ratio, as a chi-square value).
 FEATURES, EVIDENCE = 512, 16.0
-#: Trigrams of the character model at most.
-TRIGRAMS = 60_000
 THRESHOLD = 0.3
 #: Lengths of word beginnings that are features.
 BEGINNINGS = (4, 5, 6)
@@ -61,7 +60,7 @@ _SEPARATORS = " .-_*"
 
 @dataclass
 class CharModel:
-    """Trigram log probabilities with a flat floor; ^ begins and $ ends a word."""
+    """Trigram log probabilities, none under the floor that unseen ones have; ^ begins and $ ends a word."""
 
     logp: dict[str, float] = field(default_factory=dict)
     floor: float = -7.0
@@ -71,7 +70,7 @@ class CharModel:
         context: Counter = Counter()
         for t, n in counts.items():
             context[t[:2]] += n
-        return cls({t: math.log(n / (context[t[:2]] + 5.0)) for t, n in counts.items()})
+        return cls({t: max(cls.floor, math.log(n / (context[t[:2]] + 5.0))) for t, n in counts.items()})
 
     def step(self, context: str, c: str) -> float:
         return self.logp.get(context + c, self.floor)
@@ -267,18 +266,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = texts.join(F.broadcast(taken), "doc_id").select("toxic", "text")
 
     def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, words = Counter(), set()
+        words, seen = Counter(), Counter()
+
+        def told():
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["t", "n"])
+
         for b in pieces(batches):
-            for text in b.column(1).to_pylist():
-                words.update(WORD.findall(text.lower()))
+            for text in b.column(0).to_pylist():
+                words.update(set(WORD.findall(text.lower())))
             if len(words) > 200_000:
-                seen.update(t for w in words for t in trigrams(w))
-                words = set()
-        seen.update(t for w in words for t in trigrams(w))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["t", "n"])
+                for w, n in words.items():
+                    for t in trigrams(w):
+                        seen[t] += n
+                words.clear()
+            if len(seen) > 500_000:
+                yield told()
+                seen.clear()
+        for w, n in words.items():
+            for t in trigrams(w):
+                seen[t] += n
+        yield told()
 
-    counted = rows.mapInArrow(count_trigrams, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(TRIGRAMS)
-    chars = CharModel.of({r["t"]: r["n"] for r in counted.collect()})
+    # The language model needs no labels: it counts each word once a document, over all documents. Its table has at
+    # most the trigrams that the corpus's scripts have; each task sends sums.
+    counted = texts.select("text").mapInArrow(count_trigrams, "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    chars = CharModel.of({r["t"]: r["n"] for r in counted.toLocalIterator()})
 
     def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, seen = Reader(chars), Counter()

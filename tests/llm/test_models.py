@@ -63,6 +63,16 @@ def test_held_out_accuracy(spark, make_docs, corpus, empty):
     assert toxicity.score(empty, model).count() == toxicity.clean_documents(empty, model).count() == 0
 
 
+def test_character_model_counts_all_documents(spark, make_docs, corpus):
+    """Also documents without a label, which the classifier never sees."""
+    docs = make_docs(corpus[0] + [(5000 + i, "ξένος κόσμος") for i in range(3)])
+    labels = spark.createDataFrame(corpus[1], "doc_id long, quality int, toxic int")
+    chars = toxicity.fit(docs, labels, sample=50).chars
+    words = {w for r in corpus[0] for w in toxicity.WORD.findall(r[1].lower())} | {"ξένος", "κόσμος"}
+    assert set(chars.logp) == {t for w in words for t in toxicity.trigrams(w)}
+    assert min(chars.logp.values()) >= chars.floor
+
+
 def test_labels_of_held_out_rows_do_not_matter(spark, make_docs, corpus):
     docs = make_docs(corpus[0])
     flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 4 == 2 else t) for i, q, t in corpus[1]]
