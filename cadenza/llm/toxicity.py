@@ -1,7 +1,8 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-*Restoring.* Words that look disguised (symbols among letters, three of a
-letter in a row, single letters set apart) become character lattices: a symbol
+*Restoring.* Words that may be disguised (a symbol and a letter in a run, a
+letter repeated, single letters set apart, separators inside) become character
+lattices, whatever their length and neighbours: a symbol
 may stand for the letters it resembles, a run of a letter for one or two of it,
 a separator for nothing. A Viterbi search takes the reading that a character
 trigram model of the corpus's words finds likeliest together with the channel's
@@ -47,15 +48,14 @@ LEET = {"4": "a", "@": "a", "8": "b", "(": "c", "3": "e", "€": "e", "6": "g",
 
 _SYMBOLS = re.escape("".join(LEET))
 WORD = re.compile(r"[^\W\d_]+")
-#: Runs of letters, digits and symbols that may be words in disguise, by length; what may stand before one, and what not after.
+#: Runs of letters, digits and symbols, which may be words in disguise if they have a symbol and a letter.
 CHUNK = re.compile(rf"[\w{_SYMBOLS}]+")
-SHORTEST, LONGEST = 3, 24
-BEFORE, NOT_AFTER = set("\"'([ \t\r\n\f\v"), set("=:/")
-#: A symbol that a letter follows.
-LEETED = re.compile(rf"[{_SYMBOLS}]+[^\W\d_]")
-TRIPLE = re.compile(r"([^\W\d_])\1\1")
-SPACED = re.compile(rf"(?<![\w{_SYMBOLS}])[\w{_SYMBOLS}](?:[ .\-_*]{{1,2}}[\w{_SYMBOLS}]){{3,}}(?![\w{_SYMBOLS}])")
-_SEPARATORS = " .-_*"
+LETTER = re.compile(r"[^\W\d_]")
+REPEATED = re.compile(r"([^\W\d_])\1")
+#: Single letters set apart, and runs with separators inside.
+SPACED = re.compile(rf"(?<![\w{_SYMBOLS}])[\w{_SYMBOLS}](?:[ .\-_*/\n\t\r]{{1,3}}[\w{_SYMBOLS}]){{2,}}(?![\w{_SYMBOLS}])")
+BROKEN = re.compile(rf"[\w{_SYMBOLS}]+(?:[.\-_*/]{{1,3}}[\w{_SYMBOLS}]+)+")
+_SEPARATORS = " .-_*/\n\t\r"
 
 
 @dataclass
@@ -129,18 +129,36 @@ def restore(token: str, model: CharModel) -> str:
 
 
 _SYMBOL = re.compile(f"[{_SYMBOLS}]")
+_BREAK = re.compile(r"[.\-_*/]")
 
 
 def leeted(text: str) -> Iterator[re.Match]:
-    """Runs with a symbol before a letter, set off like a word."""
-    for m in CHUNK.finditer(text):
-        if SHORTEST <= m.end() - m.start() <= LONGEST and (m.start() == 0 or text[m.start() - 1] in BEFORE) and (m.end() == len(text) or text[m.end()] not in NOT_AFTER) and LEETED.search(m.group()):
-            yield m
+    """Runs with a symbol and a letter, wherever they stand and however long they are."""
+    return (m for m in CHUNK.finditer(text) if _SYMBOL.search(m.group()) and LETTER.search(m.group()))
 
 
 def stretched(text: str) -> Iterator[re.Match]:
-    """Words with three of a letter in a row."""
-    return (m for m in WORD.finditer(text) if TRIPLE.search(m.group()))
+    """Words with a letter twice or more in a row."""
+    return (m for m in WORD.finditer(text) if REPEATED.search(m.group()))
+
+
+def spaced(text: str) -> Iterator[re.Match]:
+    """Three or more single letters set apart, some of them letters as written."""
+    return (m for m in SPACED.finditer(text) if LETTER.search(m.group()))
+
+
+def likelihood(words: list[str], model: CharModel) -> float:
+    return sum(model.logp.get(t, model.floor) for w in words for t in trigrams(w))
+
+
+def joined(text: str, model: CharModel) -> Iterator[tuple[re.Match, str]]:
+    """Runs with separators inside that are likelier as one word than as the parts that are written, and that word."""
+    for m in BROKEN.finditer(text):
+        parts = WORD.findall(m.group())
+        if parts:
+            reading = restore(m.group(), model)
+            if likelihood(WORD.findall(reading), model) > likelihood(parts, model):
+                yield m, reading
 
 
 class Reader:
@@ -159,8 +177,11 @@ class Reader:
         if _SYMBOL.search(token):
             for m in leeted(token):
                 found += WORD.findall(restore(m.group(), self.model))
-        if TRIPLE.search(token):
+        if REPEATED.search(token):
             found += [restore(m.group(), self.model) for m in stretched(token)]
+        if _BREAK.search(token):
+            for _, reading in joined(token, self.model):
+                found += WORD.findall(reading)
         return tuple(w for w in found if self.wanted(w)) if self.wanted else tuple(found)
 
     def words(self, text: str) -> set[str]:
@@ -173,7 +194,7 @@ class Reader:
                 known = memo[token] = self._words(token)
             if known:
                 out.update(known)
-        for m in SPACED.finditer(low):
+        for m in spaced(low):
             read = WORD.findall(restore(m.group().strip(_SEPARATORS), self.model))
             out.update(w for w in read if self.wanted(w)) if self.wanted else out.update(read)
         return out
@@ -181,10 +202,11 @@ class Reader:
     def restored_text(self, text: str) -> str:
         """The text, lower case, with disguised parts replaced by their readings."""
         low = text.lower()
-        for find in (SPACED.finditer, leeted, stretched):
+        for find in (spaced, lambda x: joined(x, self.model), leeted, stretched):
             out, at = [], 0
             for m in find(low):
-                out += [low[at : m.start()], restore(m.group().strip(_SEPARATORS), self.model)]
+                m, reading = m if isinstance(m, tuple) else (m, restore(m.group().strip(_SEPARATORS), self.model))
+                out += [low[at : m.start()], reading]
                 at = m.end()
             low = "".join([*out, low[at:]])
         return low

@@ -43,6 +43,16 @@ def test_deobfuscation():
     assert reader.words("plain words stay") == {"plain", "words", "stay"}
 
 
+def test_disguises_anywhere():
+    """Symbols only at the end, any neighbours, any length, three letters, wide gaps, words broken once."""
+    counts = {t: 50 for w in ("idiot", "dumbass", "hate", "die", "the", "you") for t in toxicity.trigrams(w)}
+    reader = toxicity.Reader(toxicity.CharModel.of(counts))
+    cases = [("idi07", "idiot"), ("dumb455", "dumbass"), ("hat3", "hate"), ("*1d10t*", "idiot"), ("-1d10t", "idiot"), ("you,1d10t", "idiot"), ("1d10t:", "idiot"), ("=1d10t", "idiot"), ("iiiiiiii1111dddddddd11110000tttt", "idiot"), ("d i e", "die"), ("i   d   i   o   t", "idiot"), ("i\nd\ni\no\nt", "idiot"), ("i/d/i/o/t", "idiot"), ("id-iot", "idiot"), ("iddiot", "idiot")]
+    for text, word in cases:
+        assert word in reader.words(text), text
+    assert reader.words("you-the 2024 1 2 3") == {"you", "the"}
+
+
 def test_held_out_accuracy(spark, make_docs, corpus, empty):
     docs = make_docs(corpus[0] + list(EDGES))
     labels = spark.createDataFrame(corpus[1], "doc_id long, quality int, toxic int")
