@@ -18,7 +18,6 @@ all other statistics are over all rows.
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,8 +40,8 @@ EVIDENCE = 300.0
 PRIOR_ROWS, CONFUSION = 20.0, 1.0
 #: Least posterior of an accepted row.
 CERTAIN = 0.5
-#: A declared language is modelled if at least this share of the rows declares it.
-SHARE = 0.005
+#: A declared language is modelled if so many rows declare it or, in small tables, this share of them.
+LEAST_ROWS, SHARE = 20, 0.005
 
 _SKIP = re.compile(r"<(script|style|head|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
 #: The language that an html element declares, within the first characters of a page.
@@ -93,9 +92,9 @@ def _read(content: str | None, markup: bool) -> str:
 def fit(rows: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Model:
     """A model from (content, is_markup, declared) rows; declared languages are told apart as they are spelt."""
     named = rows.where("declared is not null and content is not null")
-    counts = {r["declared"]: r["n"] for r in named.groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(200).collect()}
-    total = sum(counts.values())
-    languages = sorted(k for k, n in counts.items() if n >= share * total)
+    least = min(LEAST_ROWS, share * named.count())
+    counts = {r["declared"]: r["n"] for r in named.groupBy("declared").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()}
+    languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)))
     place = (F.pmod(F.xxhash64("content"), F.lit(1 << 20)) / (1 << 20)).cast("double")
@@ -165,19 +164,17 @@ def fuse(rows: DataFrame, model: Model) -> DataFrame:
     whole = [float(corpus[i] or 0.0) + 1.0 for i in range(n)]
     base = [x / sum(whole) for x in whole]
 
-    def confusion(column: str) -> Column:
-        """Log P(value | language) as a literal map value -> array; a value that few rows have is smoothed to nothing."""
-        counted = told.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"), *_sums(n, "alone")).orderBy(F.desc("n"), column).limit(256).collect()
-        if not counted:
-            return F.lit(None).cast("array<double>")
-        of_language = [sum(float(r[f"s{i}"] or 0) for r in counted) for i in range(n)]
+    def confusion(column: str) -> DataFrame:
+        """(value, logs): log P(value | language) of every value; one that few rows have is smoothed to nothing."""
+        counted = told.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(*_sums(n, "alone"))
+        counted = materialize(counted.select("value", _as_array(n).alias("counts")), "values")
+        sums = counted.agg(*_sums(n, "counts")).first()
+        of_language = [float(sums[i] or 0.0) for i in range(n)]
         total = sum(of_language) or 1.0
-        entries = []
-        for r in counted:
-            overall = (sum(float(r[f"s{i}"] or 0) for i in range(n)) + CONFUSION) / (total + CONFUSION)
-            logs = [math.log((float(r[f"s{i}"] or 0) + CONFUSION * overall) / (of_language[i] + CONFUSION)) for i in range(n)]
-            entries += [F.lit(r[column]), F.array(*[F.lit(x) for x in logs])]
-        return F.try_element_at(F.create_map(*entries), F.col(column))
+        overall = (F.aggregate("counts", F.lit(0.0), lambda a, x: a + x) + CONFUSION) / (total + CONFUSION)
+        sizes = F.array(*[F.lit(x + CONFUSION) for x in of_language])
+        logs = F.zip_with("counts", sizes, lambda c, size: F.log((c + CONFUSION * overall) / size))
+        return counted.select(F.col("value").alias(f"{column}_value"), logs.alias(f"{column}_logs"))
 
     # Host priors: counts of each level, smoothed by the level above.
     parents = told.where("parent is not null").groupBy("parent").agg(*_sums(n, "alone")).select(F.col("parent").alias("p"), _as_array(n).alias("p_counts"))
@@ -192,15 +189,17 @@ def fuse(rows: DataFrame, model: Model) -> DataFrame:
     hosts = hosts.join(parents, F.col("parent").eqNullSafe(F.col("p")), "left").withColumn("above", F.coalesce("p_prior", up))
     hosts = materialize(hosts.select(F.col("host").alias("h"), F.col("parent").alias("hp"), smoothed(F.col("h_counts"), F.col("above")).alias("h_prior")), "hosts")
     joined = rows.join(hosts, (F.col("host") == F.col("h")) & F.col("parent").eqNullSafe(F.col("hp")), "left")
+    for column in ("declared", "suffix"):
+        joined = joined.join(confusion(column), F.col(column) == F.col(f"{column}_value"), "left")
     flat = F.array(*[F.lit(0.0)] * n)
-    parts = [F.col("evidence"), F.transform(F.coalesce("h_prior", up), lambda x: F.log(x)), F.coalesce(confusion("declared"), flat), F.coalesce(confusion("suffix"), flat)]
+    parts = [F.col("evidence"), F.transform(F.coalesce("h_prior", up), lambda x: F.log(x)), F.coalesce("declared_logs", flat), F.coalesce("suffix_logs", flat)]
     total = parts[0]
     for p in parts[1:]:
         total = F.zip_with(total, p, lambda a, b: a + b)
     done = joined.withColumn("fused", _softmax(total))
     best = lambda c: F.when(F.col(c).isNotNull(), F.element_at(names, F.array_position(F.col(c), F.array_max(c)).cast("int")))
     done = done.withColumns({"lang": F.coalesce(best("fused"), F.lit("und")), "posterior": F.coalesce(F.array_max("fused"), F.lit(0.0)), "text_lang": F.coalesce(best("alone"), F.lit("und"))})
-    return done.withColumn("kept", F.col("posterior") >= CERTAIN).drop("evidence", "alone", "fused", "h", "hp", "h_prior")
+    return done.withColumn("kept", F.col("posterior") >= CERTAIN).drop("evidence", "alone", "fused", "h", "hp", "h_prior", "declared_value", "declared_logs", "suffix_value", "suffix_logs")
 
 
 def from_documents(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source") -> DataFrame:

@@ -132,3 +132,27 @@ def test_equal_texts_equal_scores(spark, make_docs, corpus):
     twice = make_docs([(i, corpus[0][i % 40][1]) for i in range(120)]).repartition(5)
     scores = toxicity.score(twice, model).withColumn("k", F.col("doc_id") % 40).groupBy("k").agg(F.count_distinct("score").alias("n"))
     assert {r["n"] for r in scores.collect()} == {1}
+
+
+def test_rare_languages_and_suffixes(spark):
+    """A language of 0.3 % of the rows is modelled; the 300th address suffix still counts."""
+    r = random.Random(12)
+    rare = lambda: " ".join(r.choice(["szczyt", "żółw", "chrząszcz", "wąż", "źrebię", "gęś"]) for _ in range(30))
+    rows = [(i, sentence(r, "en", 30), False, "en", None, None, None) for i in range(8000)]
+    rows += [(9000 + i, rare(), False, "pl", None, None, None) for i in range(24)]
+    schema = "id long, content string, is_markup boolean, declared string, suffix string, host string, parent string"
+    got = {x["id"]: x for x in langid.identify(spark.createDataFrame(rows, schema)).collect()}
+    assert all(got[9000 + i]["lang"] == "pl" for i in range(24)) and got[0]["lang"] == "en"
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(2 * i + k, "le la en de re" if i >= 300 else sentence(r, "de" if i % 2 else "fr", 30), False, "de" if i % 2 else "fr", letters[i % 300 // 26] + letters[i % 26], None, None) for i in range(300) for k in range(2)]
+    model = langid.fit(spark.createDataFrame(rows, schema))
+    ids = [(1000, sentence(r, "de", 30), False, None, "zz", None, None), (1001, None, False, None, "zz", None, None)]
+    told = spark.createDataFrame([(*x[:3], None, *x[4:]) for x in rows] + ids, schema)
+    fused = langid.fuse(langid.with_evidence(told, model), model)
+    assert fused.count() == len(rows) + len(ids) and fused.where("id = 1001").first()["lang"] == "und"
+    # Evidence of no text at all: only the suffix decides, whichever of the 300 it is.
+    even = told.withColumn("content", F.when(F.col("id") < 600, F.col("content")))
+    flat = langid.with_evidence(even, model)
+    weak = flat.unionByName(flat.where("id < 600").withColumns({"id": F.col("id") + 5000, "evidence": F.array(F.lit(0.0), F.lit(0.0))}))
+    named = {x["id"]: x["lang"] for x in langid.fuse(weak, model).collect()}
+    assert all(named[5000 + 2 * i] == ("de" if i % 2 else "fr") for i in range(300))
