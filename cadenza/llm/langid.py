@@ -44,9 +44,8 @@ CERTAIN = 0.5
 LEAST_ROWS, SHARE = 20, 0.005
 
 _SKIP = re.compile(r"<(script|style|head|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-#: The language that an html element declares, within the first characters of a page.
+#: The language that the first html element with one declares, wherever it stands.
 _MARKUP = r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
-_HEAD = 65536
 
 
 def page_text(markup: str) -> str:
@@ -217,7 +216,7 @@ def from_pages(pages: DataFrame) -> DataFrame:
     host = F.lower(F.nullif(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
     seen = p.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.col("html").cast("string").alias("content"))
     some = lambda c: F.nullif(c, F.lit(""))
-    said = some(F.lower(F.regexp_extract(F.substring("content", 1, _HEAD), _MARKUP, 1)))
+    said = some(F.lower(F.regexp_extract("content", _MARKUP, 1)))
     return seen.select(F.lit(None).cast("long").alias("doc_id"), "page_id", "content", F.lit(True).alias("is_markup"), said.alias("declared"), some(F.regexp_extract("host", r"\.([a-z]{2,})$", 1)).alias("suffix"), "host", some(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).alias("parent"))
 
 

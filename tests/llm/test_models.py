@@ -156,3 +156,10 @@ def test_rare_languages_and_suffixes(spark):
     weak = flat.unionByName(flat.where("id < 600").withColumns({"id": F.col("id") + 5000, "evidence": F.array(F.lit(0.0), F.lit(0.0))}))
     named = {x["id"]: x["lang"] for x in langid.fuse(weak, model).collect()}
     assert all(named[5000 + 2 * i] == ("de" if i % 2 else "fr") for i in range(300))
+
+
+def test_late_markup_language(spark):
+    """A long preamble does not hide the declared language."""
+    page = "<!-- " + "x" * 100_000 + " --><html lang='de'><body>ein Text</body></html>"
+    rows = spark.createDataFrame([(1, "http://a.example/", page)], "page_id long, url string, html string")
+    assert langid.from_pages(rows).first()["declared"] == "de"
