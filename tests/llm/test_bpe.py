@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -38,6 +39,13 @@ def test_every_code_point(library):
             assert vocab.encode_fast(PATH, text).tolist() == e.ids
 
 
+def test_transducer_on_assigned_code_points(library, encoder):
+    points = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs")]
+    for start in range(0, len(points), 500):
+        text = "\x01".join(f"b{c}b .{c} " for c in points[start : start + 500])
+        assert ids_of(encoder, text) == library.encode(text, add_special_tokens=False).ids
+
+
 PARTS = ["a", "b", "ab", "é", "日", "ÃÂ", " ", "\n", "  ", "0", "1", "'s", "'", "-", "--", "=", "😀", "the", "xx", "\t", "<|endoftext|>", "́"]
 
 
@@ -49,6 +57,19 @@ def test_random_texts(library, encoder):
         assert ids_of(encoder, text) == e.ids == vocab.encode_fast(PATH, text).tolist()
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t", " \n", "\u3000"])
+@pytest.mark.parametrize("after", ["", "a", "!", "7", "<|endoftext|>b", "'s"])
+def test_very_long_white_space(library, run, after):
+    n = 2_000_000 if run in " \n\t" and after == "a" else 1_200_000 if run in " \n" and not after else 70_000
+    text = "x" + run * (n // len(run)) + after
+    assert vocab.encode_fast(PATH, text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_several_long_runs(library, encoder):
+    text = " " * 70_000 + "one" + "\n" * 80_000 + " two" + "\r\n" * 66_000
+    assert vocab.encode_fast(PATH, text).tolist() == library.encode(text, add_special_tokens=False).ids == ids_of(encoder, text)
+
+
 @given(st.text(max_size=200))
 @settings(max_examples=200, deadline=None)
 def test_any_text(text):
