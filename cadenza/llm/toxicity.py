@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import exact, keeping_columns, pieces
+from .common import exact, keeping_columns, materialize, pieces
 
 #: Labelled rows of each class that a model is fitted on, at most (in expectation: a hash decides).
 SAMPLE = 5000
@@ -166,20 +166,22 @@ class Reader:
 
     Texts are read token by token (between white space) with a bounded memo, so
     a token is looked into once; only letters set apart span tokens. ``wanted``
-    says which words are of interest.
+    says which words are of interest, and ``hopeful`` of which stretched words
+    any reading can be one.
     """
 
-    def __init__(self, model: CharModel, wanted: Callable[[str], bool] | None = None):
-        self.model, self.wanted, self.memo = model, wanted, {}
+    def __init__(self, model: CharModel, wanted: Callable[[str], bool] | None = None, hopeful: Callable[[str], bool] | None = None):
+        self.model, self.wanted, self.hopeful, self.memo = model, wanted, hopeful, {}
 
     def _words(self, token: str) -> tuple[str, ...]:
-        found = WORD.findall(token)
-        if _SYMBOL.search(token):
+        plain = token.isalpha()
+        found = [token] if plain else WORD.findall(token)
+        if not plain and _SYMBOL.search(token):
             for m in leeted(token):
                 found += WORD.findall(restore(m.group(), self.model))
         if REPEATED.search(token):
-            found += [restore(m.group(), self.model) for m in stretched(token)]
-        if _BREAK.search(token):
+            found += [restore(m.group(), self.model) for m in stretched(token) if self.hopeful is None or self.hopeful(m.group())]
+        if not plain and _BREAK.search(token):
             for _, reading in joined(token, self.model):
                 found += WORD.findall(reading)
         return tuple(w for w in found if self.wanted(w)) if self.wanted else tuple(found)
@@ -212,6 +214,14 @@ class Reader:
         return low
 
 
+_RUN = re.compile(r"(.)\1+")
+
+
+def collapsed(word: str) -> str:
+    """The word with every run of a letter written once; all readings of a stretched word have the same one."""
+    return _RUN.sub(r"\1", word)
+
+
 def features(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in BEGINNINGS if len(word) > n)]
 
@@ -230,9 +240,21 @@ class Model:
         begun = [(n, known) for n, known in begun if known]
 
         def wanted(w: str) -> bool:
-            return w in whole or any(w[:n] in known and len(w) > n for n, known in begun)
+            if w in whole:
+                return True
+            for n, known in begun:
+                if w[:n] in known and len(w) > n:
+                    return True
+            return False
 
-        reader = Reader(self.chars, wanted)
+        # What a wanted word begins with once its runs are collapsed.
+        starts = {collapsed(f.rstrip("-"))[:3] for f in weights}
+
+        def hopeful(w: str) -> bool:
+            c = collapsed(w)
+            return c[:3] in starts or c[:2] in starts or c[:1] in starts
+
+        reader = Reader(self.chars, wanted, hopeful)
 
         def score(text: str) -> float:
             hits = Counter(f for w in reader.words(text) for f in features(w) if f in weights)
@@ -285,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     taken = known.where(place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     texts = exact(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # `taken` holds about `sample` rows of each class whatever the corpus, so sending it to every task is bounded.
-    rows = texts.join(F.broadcast(taken), "doc_id").select("toxic", "text")
+    rows = materialize(texts.join(F.broadcast(taken), "doc_id").select("toxic", "text"), "sample")
 
     def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = Counter(), Counter()
@@ -341,7 +363,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             found = [[order[f] for w in reader.words(t) for f in features(w) if f in order] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "hits"])
 
-    held = rows.mapInArrow(hits, "toxic int, hits array<int>")
+    held = materialize(rows.mapInArrow(hits, "toxic int, hits array<int>"), "hits")
     each = held.select("toxic", F.explode(F.array_distinct("hits")).alias("h")).groupBy("h").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     npos, nneg = size.get(1, 0), size.get(0, 0)
@@ -360,9 +382,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         prior = n[1] / (n[0] + n[1])
         return Model(chars, {}, math.log(prior / (1 - prior)))
     again = {h: i for i, h in enumerate(chosen)}
-    wanted = F.array(*[F.lit(h) for h in chosen])
-    data = held.select("toxic", F.filter("hits", lambda h: F.array_contains(wanted, h)).alias("hits")).collect()  # the bounded sample
-    w, bias = _fit([(r["toxic"], [again[h] for h in r["hits"]]) for r in data], len(chosen), (1 / share[0], 1 / share[1]))
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [[again[h] for h in x if h in again] for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.list_(pa.int32()))], names=["toxic", "hits"])
+
+    data = held.mapInArrow(picked, "toxic int, hits array<int>").collect()  # the bounded sample
+    w, bias = _fit([(r["toxic"], r["hits"]) for r in data], len(chosen), (1 / share[0], 1 / share[1]))
     names = sorted(candidates)
     return Model(chars, {names[h]: float(w[i]) for h, i in again.items()}, bias)
 
