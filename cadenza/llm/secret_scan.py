@@ -5,9 +5,12 @@
    what lies between give places in code points.
 2. *Ownership.* The SHA-256 of each candidate's value is aggregated over the
    corpus: how many distinct owners and repositories hold it.
-3. *Verdict.* A value that many owners hold is a widely copied example. One
-   that few hold and that does not look like a placeholder is live-looking;
-   its span is reported once more, as kind ``live``.
+3. *Verdict.* A value that many owners or many repositories hold is a widely
+   copied example. One that few hold and that does not look like a placeholder
+   is live-looking if something says that it is a credential: its own form (an
+   access key), or a name it is assigned to, here or anywhere in the corpus.
+   Hex digits alone say nothing: commit ids and checksums are such. The span of
+   a live-looking value is reported once more, as kind ``live``.
 
 Only hashes, places and counts are shuffled; texts stay where they are read.
 """
@@ -28,8 +31,8 @@ LEAST_ASSIGN = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 
-#: Owners from which on a value is a widely copied example.
-COPIED_FROM = 3
+#: Owners, and repositories, from which on a value is a widely copied example.
+COPIED_FROM, COPIED_REPOSITORIES = 3, 6
 #: Words that placeholders are made of.
 PLACEHOLDER = r"example|sample|dummy|changeme|placeholder|your[_-]?(?:key|token|secret|password)|x{6,}|0{8,}"
 
@@ -80,17 +83,20 @@ def _scan(docs: DataFrame, owner: str | None, repository: str | None) -> tuple[D
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(hash, n_found, n_owners, n_repositories) over the corpus; an unknown owner counts as one."""
-    known = spans.select("hash", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"))
-    each = known.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
-    return each.groupBy("hash").agg(F.sum("n").alias("n_found"), F.count_distinct("owner").alias("n_owners"), F.count_distinct("owner", "repository").alias("n_repositories"))
+    """(hash, n_found, n_owners, n_repositories, named) over the corpus; an unknown owner counts as one.
+
+    ``named``: whether the value is an access key or assigned to a telling name anywhere.
+    """
+    known = spans.select("hash", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"), (F.col("kind") != "hex").alias("named"))
+    each = known.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"), F.max("named").alias("named"))
+    return each.groupBy("hash").agg(F.sum("n").alias("n_found"), F.count_distinct("owner").alias("n_owners"), F.count_distinct("owner", "repository").alias("n_repositories"), F.max("named").alias("named"))
 
 
 def _judged(spans: DataFrame, copied_from: int) -> DataFrame:
     shared = materialize(ownership(spans), "ownership")
     joined = spans.join(shared.withColumnRenamed("hash", "h"), F.col("hash") == F.col("h"))
-    live = (F.col("n_owners") < copied_from) & ~F.lower("value").rlike(PLACEHOLDER)
-    return joined.withColumn("live", live)
+    copied = (F.col("n_owners") >= copied_from) | (F.col("n_repositories") >= COPIED_REPOSITORIES)
+    return joined.withColumn("copied", copied).withColumn("live", ~F.col("copied") & F.col("named") & ~F.lower("value").rlike(PLACEHOLDER))
 
 
 def scan(docs: DataFrame, owner: str | None = "source", repository: str | None = "lang", copied_from: int = COPIED_FROM) -> DataFrame:
@@ -98,7 +104,7 @@ def scan(docs: DataFrame, owner: str | None = "source", repository: str | None =
 
     Columns: doc_id, n_assign, n_access, n_hex, base_sha256 (of the base spans
     "kind:start:end", comma-joined), spans (those and the live ones), n_live,
-    n_copied (base spans whose value at least ``copied_from`` owners hold).
+    n_copied (base spans whose value is a widely copied example).
     Spans cover whole matches, in code points, end exclusive. Null or empty
     text: no spans. Repeated rows are judged each; empty table: empty result.
     """
@@ -108,7 +114,7 @@ def scan(docs: DataFrame, owner: str | None = "source", repository: str | None =
     entry = F.struct(F.col("start"), order.alias("kind_no"), F.col("end"), F.concat_ws(":", "kind", "start", "end").alias("said"))
     extra = F.when(F.col("live"), F.struct(F.col("start"), F.lit(len(KINDS)).cast("long").alias("kind_no"), F.col("end"), F.concat_ws(":", F.lit("live"), "start", "end").alias("said")))
     said = lambda c: F.concat_ws(",", F.transform(F.array_sort(c), lambda x: x["said"]))
-    of = judged.select("rid", "kind", "live", (F.col("n_owners") >= copied_from).alias("copied"), entry.alias("entry"), extra.alias("extra"))
+    of = judged.select("rid", "kind", "live", "copied", entry.alias("entry"), extra.alias("extra"))
     per = of.groupBy("rid").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS[:3]], F.count_if("live").alias("n_live"), F.count_if("copied").alias("n_copied"), F.collect_list("entry").alias("base"), F.collect_list("extra").alias("more"))
     per = per.select("rid", "n_assign", "n_access", "n_hex", "n_live", "n_copied", said("base").alias("base"), said(F.concat("base", "more")).alias("spans"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)

@@ -29,15 +29,16 @@ with cleaned as (
     source as owner, lang as repository from documents),
 found as ({" union all ".join(_secret_matches(k, p) for k, p in _PATTERNS.items())}),
 spans as (select *, sha256(value) as hash from found where kind <> 'assign' or length(value) >= {secret_scan.LEAST_ASSIGN}),
-ownership as (select hash, count(distinct coalesce(owner, '')) as n_owners from spans group by hash),
-judged as (select s.*, n_owners, n_owners < {secret_scan.COPIED_FROM} and not regexp_matches(lower(value), {_quoted(secret_scan.PLACEHOLDER)}) as live
+ownership as (select hash, count(distinct coalesce(owner, '')) >= {secret_scan.COPIED_FROM} or count(distinct (coalesce(owner, ''), coalesce(repository, ''))) >= {secret_scan.COPIED_REPOSITORIES} as copied,
+  bool_or(kind <> 'hex') as named from spans group by hash),
+judged as (select s.*, copied, named and not copied and not regexp_matches(lower(value), {_quoted(secret_scan.PLACEHOLDER)}) as live
   from spans s join ownership o on s.hash = o.hash),
 listed as (
   select rid, start, list_position(['assign', 'access', 'hex'], kind) as k, "end", kind || ':' || start || ':' || "end" as said from judged
   union all select rid, start, 4, "end", 'live:' || start || ':' || "end" from judged where live),
 per as (
   select rid, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
-    count(*) filter (live) as n_live, count(*) filter (n_owners >= {secret_scan.COPIED_FROM}) as n_copied from judged group by rid),
+    count(*) filter (live) as n_live, count(*) filter (copied) as n_copied from judged group by rid),
 texts as (
   select rid, string_agg(said, ',' order by start, k, "end") filter (k < 4) as base, string_agg(said, ',' order by start, k, "end") as spans from listed group by rid)
 select c.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
