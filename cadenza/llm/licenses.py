@@ -12,11 +12,19 @@ adds nothing.
 License texts are wrapped in some places and listed line by line in others. So
 a text is read twice, line ends being blanks or ends of sentences, and the
 reading that recognises more sentences counts (the first, if equal). Addresses
-and empty lines end a sentence in both.
+and empty lines end a sentence in both; an SPDX tag and what follows it on the
+line are one sentence.
+
+A text that has none of the words in ``ANCHORS`` is not split. Each known
+sentence has one of them, and normalising never joins or changes words, so no
+sentence is lost by that.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,9 +81,33 @@ RULES = [
 _GNU = [("general", "GPL", ("2", "3")), ("lesser general", "LGPL", ("2.1", "3")), ("affero general", "AGPL", ("3",))]
 _CC = {"attribution-sharealike": "BY-SA", "attribution-noncommercial": "BY-NC", "attribution-noderivatives": "BY-ND", "attribution-noncommercial-sharealike": "BY-NC-SA", "attribution-noncommercial-noderivatives": "BY-NC-ND"}
 
-#: Further sentences, as the readings really cut unmodified texts. They stand apart, since the SQL of
-#: the query knows ``SENTENCES`` and ``RULES`` only; texts without any of them have the same result by both.
+#: Licenses that an SPDX tag may name.
+SPDX = ["0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib"]
+
+#: Titles of whole license texts, and the licenses they name.
+TITLES = {
+    "apache license version 2.0 january 2004": "Apache-2.0",
+    "gnu general public license version 2 june 1991": "GPL-2.0-only",
+    "gnu general public license version 3 29 june 2007": "GPL-3.0-only",
+    "gnu lesser general public license version 2.1 february 1999": "LGPL-2.1-only",
+    "gnu lesser general public license version 3 29 june 2007": "LGPL-3.0-only",
+    "gnu affero general public license version 3 19 november 2007": "AGPL-3.0-only",
+    "mozilla public license version 2.0": "MPL-2.0",
+    "eclipse public license v 2.0": "EPL-2.0",
+    "boost software license version 1.0 august 17th 2003": "BSL-1.0",
+    "cc0 1.0 universal": "CC0-1.0",
+    "the mit license mit": "MIT",
+    "mit license": "MIT",
+    "the mit license": "MIT",
+    "isc license": "ISC",
+    "bsd 2-clause license": "BSD-2-Clause",
+    "bsd 3-clause license": "BSD-3-Clause",
+}
+
+#: Further sentences, as the readings really cut unmodified texts.
 WHOLE_SENTENCES = {
+    **{title: f"{name}-Title" for title, name in TITLES.items()},
+    **{f"spdx-license-identifier {name.lower()}": f"{name}-Tag" for name in SPDX},
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MitGrant",
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MitWarranty",
     "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "MitLiability",
@@ -127,21 +159,42 @@ WHOLE_RULES = [
     (["UnlicenseDomain"], "Unlicense"),
     (["Cc0Waiver"], "CC0-1.0"),
     *[([f"Cc{spdx.title().replace('-', '')}Work4"], f"CC-{spdx}-4.0") for spdx in _CC.values()],
+    *[([f"{name}-Title"], name) for name in dict.fromkeys(TITLES.values())],
+    *[([f"{name}-Tag"], name) for name in SPDX],
 ]
 
-#: A rule that contains another's whole sequence stands for it.
-COVERS = {"BSD-3-Clause": ["BSD-2-Clause"]}
-
-#: Where a sentence ends: end marks before white space or the text's end, and, in the reading by lines, a line's end.
-ENDS = r"[.!?;:]+(?:[ \t\r\f\n]+|$)"
-LINE_ENDS = ENDS + r"|\n"
-#: What ends a sentence without an end mark: an address, and a line of blanks and comment signs only (after a title or a name).
-BREAKS = r"|(?<![^ \t\r\f\n(<\"'])https?://[^ \t\r\f\n]*|\n[ \t\r\f#*/;-]*\n"
+#: A rule that contains another's whole sequence stands for it, and so does a notice that says more than a title.
+COVERS = {"BSD-3-Clause": ["BSD-2-Clause"], **{f"{name}-or-later": [f"{name}-only"] for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")}}
+
+#: An SPDX tag, whose colon ends no sentence.
+TAG = r"spdx-license-identifier[ \t]*:[ \t]*"
+#: An address, up to white space.
+_ADDRESS = r"https?://[^ \t\r\f\n]*"
+#: What ends a sentence: end marks before white space or the text's end, and a line of blanks and comment signs only
+#: (after a title or a name), each with an address that follows; an address after white space or an opening sign; and
+#: a line that begins with an SPDX tag.
+_ENDS = r"[.!?;:]+(?:[ \t\r\f\n]+|$)|\n[ \t\r\f#*/;-]*\n"
+_ALONE = rf"|(?:^|[ \t\r\f\n(<\"']){_ADDRESS}"
+ENDS = rf"(?:{_ENDS})(?:{_ADDRESS})?{_ALONE}"
+#: The same and, in the reading by lines, a line's end.
+LINE_ENDS = rf"(?:{_ENDS}|\n)(?:{_ADDRESS})?{_ALONE}"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OTHER = r"[^a-z0-9.+-]+"
 OUTER = r"^[ .-]+|[ .-]+$"
-#: Every known sentence has one of these words, so texts without them have none of the sentences.
-ANCHORS = r"licen[sc]e|redistribut|hereby granted|copyright|warrant|rights reserved|name of the|provided as is"
+
+
+def anchors(sentences: Iterable[str]) -> list[str]:
+    """Few words of which every sentence has one: the one that most of the sentences still without one have, and so on."""
+    left, out = {frozenset(w for w in s.split() if w.replace("-", "").isalpha()) for s in sentences}, []
+    while left:
+        seen = Counter(w for s in left for w in s)
+        # Of equally good words the longer one is the rarer one in other texts.
+        out.append(max(seen, key=lambda w: (seen[w] if len(w) > 6 else 0, len(w), w)))
+        left = {s for s in left if out[-1] not in s}
+    return sorted(out)
+
+
+ANCHORS = "|".join(anchors(SENTENCES | WHOLE_SENTENCES))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -150,7 +203,8 @@ def scan(docs: DataFrame) -> DataFrame:
     The last two are comma-joined, identifiers in the text's order and licenses
     in that of the rules. Null or empty text, or one without a known sentence:
     zero and empty strings. Repeated rows are each returned; empty table: empty
-    result.
+    result. The whole text of a GNU license also holds the notice it proposes,
+    and is named by that ("or later").
     """
     d = exact(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER).alias("low"))
     sentences = SENTENCES | WHOLE_SENTENCES
@@ -159,11 +213,12 @@ def scan(docs: DataFrame) -> DataFrame:
     shortest = min(map(len, sentences))
 
     def ids(ends: str):
-        normal = F.transform(F.split("low", ends + BREAKS), lambda s: F.regexp_replace(F.regexp_replace(s, OTHER, " "), OUTER, ""))
+        normal = F.transform(F.split("told", ends), lambda s: F.regexp_replace(F.regexp_replace(s, OTHER, " "), OUTER, ""))
         return F.filter(F.transform(F.filter(normal, lambda s: F.length(s) >= shortest), lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
 
     none = F.expr("cast(array() as array<string>)")
-    read = d.select("doc_id", F.when(F.col("low").rlike(ANCHORS), F.struct(ids(ENDS).alias("wrapped"), ids(LINE_ENDS).alias("lines"))).alias("r"))
+    told = d.select("doc_id", "low", F.regexp_replace("low", TAG, "\nspdx-license-identifier ").alias("told"))
+    read = told.select("doc_id", F.when(F.col("low").rlike(ANCHORS), F.struct(ids(ENDS).alias("wrapped"), ids(LINE_ENDS).alias("lines"))).alias("r"))
     found = read.select("doc_id", F.when(F.col("r").isNull(), none).when(F.size("r.wrapped") >= F.size("r.lines"), F.col("r.wrapped")).otherwise(F.col("r.lines")).alias("ids"))
     line = F.concat(F.lit(","), F.concat_ws(",", "ids"), F.lit(","))
     rules = F.array(*[F.struct(F.lit("," + ",".join(seq) + ",").alias("sequence"), F.lit(name).alias("license")) for seq, name in RULES + WHOLE_RULES])

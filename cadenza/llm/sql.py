@@ -47,20 +47,19 @@ from cleaned c left join per using (rid) left join texts using (rid)"""
 
 
 def _license_ids(ends: str) -> str:
-    normal = f"trim_outer(regexp_replace(s, {_quoted(licenses.OTHER)}, ' ', 'g'))".replace("trim_outer(", "regexp_replace(").replace("' ', 'g'))", f"' ', 'g'), {_quoted(licenses.OUTER)}, '', 'g')")
+    normal = f"regexp_replace(regexp_replace(s, {_quoted(licenses.OTHER)}, ' ', 'g'), {_quoted(licenses.OUTER)}, '', 'g')"
     return f"list_filter(list_transform(regexp_split_to_array(low, {_quoted(ends)}), lambda s: known[{normal}]), lambda x: x is not null)"
 
 
-_KNOWN = "map {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in licenses.SENTENCES.items()) + "}"
-_RULES = "[" + ", ".join(f"{{'sequence': {_quoted(',' + ','.join(seq) + ',')}, 'license': {_quoted(name)}}}" for seq, name in licenses.RULES) + "]"
-_COVERED = " ".join(f"when list_contains(held, {_quoted(name)}) then list_filter(held, lambda x: x not in ({', '.join(map(_quoted, less))}))" for name, less in licenses.COVERS.items())
+_KNOWN = "map {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in (licenses.SENTENCES | licenses.WHOLE_SENTENCES).items()) + "}"
+_RULES = "[" + ", ".join(f"{{'sequence': {_quoted(',' + ','.join(seq) + ',')}, 'license': {_quoted(name)}}}" for seq, name in licenses.RULES + licenses.WHOLE_RULES) + "]"
+_COVERS = "[" + ", ".join(f"{{'more': {_quoted(name)}, 'less': [{', '.join(map(_quoted, less))}]}}" for name, less in licenses.COVERS.items()) + "]"
 
+#: No text is left out beforehand here: every one is split into sentences.
 LICENSES_SQL = f"""
-with d as (select doc_id, translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}') as low, {_KNOWN} as known from documents),
-r as (select doc_id, case when regexp_matches(low, {_quoted(licenses.ANCHORS)}) then {_license_ids(licenses.ENDS)} else [] end as wrapped,
-  case when regexp_matches(low, {_quoted(licenses.ANCHORS)}) then {_license_ids(licenses.LINE_ENDS)} else [] end as lines from d),
+with d as (select doc_id, regexp_replace(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), {_quoted(licenses.TAG)}, chr(10) || 'spdx-license-identifier ', 'g') as low, {_KNOWN} as known from documents),
+r as (select doc_id, {_license_ids(licenses.ENDS)} as wrapped, {_license_ids(licenses.LINE_ENDS)} as lines from d),
 f as (select doc_id, case when len(wrapped) >= len(lines) then wrapped else lines end as ids from r),
 h as (select doc_id, ids, list_transform(list_filter({_RULES}, lambda r: contains(',' || array_to_string(ids, ',') || ',', r.sequence)), lambda r: r.license) as all_held from f),
 u as (select doc_id, ids, list_filter(all_held, lambda x, i: list_position(all_held, x) = i) as held from h)
-select doc_id, len(ids) as n_sentences, array_to_string(ids, ',') as sentence_ids,
-  array_to_string(case {_COVERED} else held end, ',') as licenses from u"""
+select doc_id, len(ids) as n_sentences, array_to_string(ids, ',') as sentence_ids, array_to_string(list_filter(held, lambda x: not list_contains(flatten(list_transform({_COVERS}, lambda c: case when list_contains(held, c.more) then c.less else [] end)), x)), ',') as licenses from u"""

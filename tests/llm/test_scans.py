@@ -3,8 +3,11 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import math
+import os
 import re
 import struct
+import textwrap
 import zipfile
 import zlib
 
@@ -48,15 +51,16 @@ def test_secrets_against_brute_force(make_docs, empty):
     rows = SECRETS + list(EDGES)
     got = secret_scan.scan(make_docs(rows)).collect()
     assert len(got) == len(rows)
-    owners = {}
+    owners, named = {}, set()
     for r in rows:
-        for *_, value in base(r[1]):
+        for *_, kind, value in base(r[1]):
             owners.setdefault(value, set()).add(r[3] if len(r) > 3 else "s0")
+            named |= {value} if kind != "hex" else set()
     want = []
     for r in rows:
         spans = base(r[1])
         said = [f"{k}:{s}:{e}" for s, _, e, k, _ in spans]
-        live = [(s, 9, e, "live") for s, _, e, _, v in spans if len(owners[v]) < 3 and not re.search(secret_scan.PLACEHOLDER, v.lower())]
+        live = [(s, 9, e, "live") for s, _, e, _, v in spans if v in named and len(owners[v]) < 3 and not re.search(secret_scan.PLACEHOLDER, v.lower())]
         both = sorted([x[:4] for x in spans] + live)
         want.append((-1 if r[0] is None else r[0], *(sum(x[3] == k for x in spans) for k in PATTERNS), hashlib.sha256(",".join(said).encode()).hexdigest(), ",".join(f"{k}:{s}:{e}" for s, _, e, k in both)))
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], r["spans"]) for r in got) == sorted(want)
@@ -72,6 +76,7 @@ def test_redaction(make_docs, empty):
     rows = out.collect()
     got = {r[0]: r[1] for r in rows}
     assert got[100] == f"my password = '[SECRET]' and {KEY}"
+    assert "ab12" * 10 in got[106]  # hex digits that nothing names: a checksum, say
     assert HEX not in got[101] and "token=short" in got[101]
     assert got[102] == f"{KEY} again" and got[104] == SECRETS[4][1]
     assert got[6] == EDGES[6][1] and got[0] is None and len(rows) == len(SECRETS) + len(EDGES)
@@ -101,7 +106,52 @@ def test_licenses(make_docs, empty):
     assert all(got[d]["licenses"] == "" for d, _ in EDGES)
     assert licenses.scan(empty).count() == 0
     anchors = re.compile(licenses.ANCHORS)
-    assert all(anchors.search(s) or "except in compliance" in s for s in licenses.SENTENCES if "gnu" not in s and "you may" not in s and "conditions are met" not in s)
+    assert all(anchors.search(x) for x in licenses.SENTENCES | licenses.WHOLE_SENTENCES)
+
+
+def brute_licenses(text):
+    """Sentence identifiers and licenses of a text, read word by word, with no text left out beforehand."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    low = re.sub(licenses.TAG, "\nspdx-license-identifier ", low)
+    known, best = licenses.SENTENCES | licenses.WHOLE_SENTENCES, []
+    for ends in (licenses.ENDS, licenses.LINE_ENDS):
+        found = []
+        for sentence in re.split(ends.replace("$", r"\Z"), low):
+            words = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789.+-" else " " for c in sentence).split()
+            if " ".join(words).strip(" .-") in known:
+                found.append(known[" ".join(words).strip(" .-")])
+        best = found if len(found) > len(best) else best
+    named = []
+    for sequence, name in licenses.RULES + licenses.WHOLE_RULES:
+        if name not in named and any(best[i : i + len(sequence)] == sequence for i in range(len(best))):
+            named.append(name)
+    return ",".join(best), ",".join(n for n in named if not any(n in less and more in named for more, less in licenses.COVERS.items()))
+
+
+FOLDER = "/usr/share/common-licenses"
+FULL = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-or-later", "GPL-3": "GPL-3.0-or-later", "LGPL-2.1": "LGPL-2.1-or-later", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="this system has no license texts")
+def test_whole_license_texts(make_docs):
+    """Official texts from this system, wrapped anew at several widths and with both kinds of line ends."""
+    rows, want = [], []
+    for file, name in FULL.items():
+        with open(f"{FOLDER}/{file}", encoding="utf-8") as f:
+            whole = f.read()
+        paragraphs = re.split(r"\n[ \t]*\n", whole)
+        for width in (None, 40, 72, 100):
+            text = whole if width is None else "\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in paragraphs)
+            for end in ("\n", "\r\n"):
+                rows.append((len(rows), text.replace("\n", end)))
+                want.append(name)
+    rows += [(1000 + i, f"# SPDX-License-Identifier: {name}\nimport os\n") for i, name in enumerate(licenses.SPDX)]
+    want += licenses.SPDX
+    rows += [(2000, "All rights\nreserved."), (2001, "x = 1  # All rights reserved.")]
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in licenses.scan(make_docs(rows)).collect()}
+    assert [got[d][1].split(",")[0] for d, _ in rows[: len(want)]] == want
+    assert got[2000][1] == "Proprietary"
+    assert all(got[d] == brute_licenses(t) for d, t in rows)
 
 
 #: Unmodified official texts.
@@ -159,7 +209,7 @@ def test_unmodified_licenses(make_docs):
     rows = [(30, MIT), (31, GPL3), (32, APACHE), (33, LGPL21), (34, MPL), (35, ISC), (36, GPL3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2"))]
     got = {r["doc_id"]: r for r in licenses.scan(make_docs(rows)).collect()}
     assert [got[d]["licenses"] for d in range(30, 37)] == ["MIT", "GPL-3.0-or-later", "Apache-2.0", "LGPL-2.1-or-later", "MPL-2.0", "ISC", "GPL-2.0-or-later"]
-    assert got[30]["sentence_ids"] == "MitGrant,MitNotice,MitWarranty,MitLiability"
+    assert got[30]["sentence_ids"] == "MIT-Title,MitGrant,MitNotice,MitWarranty,MitLiability"
     assert got[31]["sentence_ids"] == "GnuFree,GplLater3,GnuHope,GnuNoWarranty,GplSee"
     assert got[32]["sentence_ids"] == "ApacheLicensed,ApacheUse,ApacheCopy,ApacheWarranty,ApacheSee"
 
@@ -208,10 +258,76 @@ def test_sniff_and_carve(spark):
     got = {r["id"]: r for r in s.collect()}
     assert got[1]["media_type"] == "image/png" and got[1]["corrected"] and not got[5]["corrected"]
     assert got[2]["media_type"] is None and len(got[2]["items"]) == 1 and got[3]["items"] == []
-    carved = {(r["id"], r["type"]): bytes(r["bytes"]) for r in media.carve(s).collect()}
+    carved = {(r["id"], r["type"]): bytes(r["bytes"]) for r in media.carve(df).collect()}
     assert carved[2, "image/gif"] == SAMPLES["image/gif"] and carved[5, "image/png"] == SAMPLES["image/png"]
 
 
+def test_names_that_clash(spark):
+    """Columns of the names that are added stay, and so do two of one name."""
+    row = (1, bytearray(b"xx" + SAMPLES["image/gif"]), "keep me", "and me", "me too", 7, 8)
+    df = spark.createDataFrame([row], "id int, data binary, media_type string, Items string, type string, x int, y int").toDF("id", "data", "media_type", "Items", "type", "x", "X")
+    s = media.sniff(df, "data", "media_type")
+    assert s.columns == ["id", "data", "media_type", "Items", "type", "x", "X", "_media_type", "_items", "corrected"]
+    got = s.first()
+    assert (got[2], got[3], got[4], got[5], got[6], got[7]) == ("keep me", "and me", "me too", 7, 8, None)
+    c = media.carve(df)
+    assert c.columns == ["id", "media_type", "Items", "type", "x", "X", "_type", "offset", "length", "bytes"]
+    assert bytes(c.first()[9]) == SAMPLES["image/gif"] and media.carve(df.limit(0)).count() == 0
+
+
+def crc(bits, polynomial, data):
+    """Bit by bit."""
+    x = 0
+    for byte in data:
+        for k in range(8):
+            top = (x >> bits - 1 ^ byte >> 7 - k) & 1
+            x = (x << 1 & (1 << bits) - 1) ^ (polynomial if top else 0)
+    return x.to_bytes(bits // 8, "big")
+
+
+def flac(frames):
+    out = b"fLaC\x80\x00\x00\x04abcd"
+    for k, body in enumerate(frames):
+        head = b"\xff\xf8\x69\x18" + (bytes([k]) if k < 128 else chr(k).encode()) + b"\x0f"
+        head += crc(8, 0x07, head)
+        out += head + body + crc(16, 0x8005, head + body)
+    return out
+
+
+def test_flac_with_audio():
+    audio = flac([bytes(range(200)), b"\xff\xf8" * 50, os.urandom(3000)])
+    assert media.items(audio) == [("audio/flac", 0, len(audio))]
+    inside = b"before" + audio + b"after" * 20
+    assert media.items(inside) == [("audio/flac", 6, len(audio))]
+
+
+def test_mp4_boxes_of_any_size():
+    head = struct.pack(">I", 16) + b"ftypisom\0\0\0\0"
+    large = head + struct.pack(">I", 1) + b"mdat" + struct.pack(">Q", 16 + 500) + b"a" * 500
+    assert media.items(large + b"tail") == [("video/mp4", 0, len(large))]
+    rest = head + struct.pack(">I", 0) + b"mdat" + b"a" * 700
+    assert media.items(rest) == [("video/mp4", 0, len(rest))]
+
+
+def test_archive_in_an_archive():
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        z.writestr("inner.zip", SAMPLES["application/zip"])
+    found = media.items(b.getvalue())
+    assert found[0] == ("application/zip", 0, len(b.getvalue())) and any(k == "application/zip" and n == len(SAMPLES["application/zip"]) for k, at, n in found if at)
+
+
+def test_feature_values():
+    """The numbers of a feature, computed anew from the stored bytes."""
+    text = "fLaC GIF89a " + "abc" * 30
+    payload = text.encode() + b" " * (-len(text) % 192)
+    level = [x - 128 for x in payload]
+    shares = [payload.count(x) / len(payload) for x in set(payload)]
+    rms = (sum(x * x for x in level) / len(level)) ** 0.5
+    crossings = sum((a >= 0) != (b >= 0) for a, b in zip(level, level[1:]))
+    assert media.feature(payload, 3) == f"rms={rms:.4f};crossings={crossings};entropy={-sum(p * math.log2(p) for p in shares):.4f};embedded=3"
+
+
 def test_stored_media(edges, empty):
     got = media.stored_media(edges, with_bytes=True).collect()
     for (doc, text), r in zip(EDGES, got, strict=True):
