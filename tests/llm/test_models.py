@@ -163,3 +163,22 @@ def test_late_markup_language(spark):
     page = "<!-- " + "x" * 100_000 + " --><html lang='de'><body>ein Text</body></html>"
     rows = spark.createDataFrame([(1, "http://a.example/", page)], "page_id long, url string, html string")
     assert langid.from_pages(rows).first()["declared"] == "de"
+
+
+def test_page_text_in_one_pass():
+    """The same text as by one pattern, and in linear time where ends are missing."""
+    import html
+    import random
+    import re
+    import time
+
+    skip = re.compile(r"<(script|style|head|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+    r = random.Random(8)
+    parts = ["<nav>", "</nav >", "<NAV x=1", "<!--", "-->", "<", ">", "text &amp; ", "<script>", "</script>", "<scripty>", "<p>", "</p>", "<head", "</head>", " "]
+    for _ in range(3000):
+        markup = "".join(r.choice(parts) for _ in range(r.randrange(14)))
+        assert langid.page_text(markup) == html.unescape(skip.sub(" ", markup))
+    for part in ("<nav ", "<!-- ", "<", "<nav>", "<script>x</nav>", "<a <b <!--"):
+        began = time.process_time()
+        langid.page_text(part * (4_000_000 // len(part)))
+        assert time.process_time() - began < 10
