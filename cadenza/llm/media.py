@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import exact, pieces
+from .common import exact, pieces, small_batches
 
 #: Magic bytes, the format they begin, and how far into the item they stand.
 MAGIC = [
@@ -47,6 +47,8 @@ MAGIC = [
 
 #: The payload's unit, and the rate that a stored sample table declares.
 UNIT, RATE = 192, 8000
+#: What a column of texts declares its values to be.
+DECLARED = "text/plain"
 
 
 def _png(d: bytes, at: int) -> int | None:
@@ -129,14 +131,57 @@ def _riff(d: bytes, at: int) -> int | None:
     return n if p == at + n else None
 
 
+def _checksums(bits: int, polynomial: int) -> list[int]:
+    table = []
+    for byte in range(256):
+        x = byte << bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ polynomial if x >> bits - 1 else x << 1) & (1 << bits) - 1
+        table.append(x)
+    return table
+
+
+_CRC8, _CRC16 = _checksums(8, 0x07), _checksums(16, 0x8005)
+
+
+def _flac_header(d: bytes, p: int) -> bool:
+    """Whether a frame's header, with its checksum, stands at a place."""
+    if p + 6 > len(d) or d[p] != 0xFF or d[p + 1] & 0xFE != 0xF8 or d[p + 2] >> 4 == 0 or d[p + 2] & 15 == 15 or d[p + 3] & 1:
+        return False
+    lead = d[p + 4]
+    more = 0 if lead < 0x80 else 7 - (lead ^ 0xFF).bit_length()
+    q = p + 5 + more + {6: 1, 7: 2}.get(d[p + 2] >> 4, 0) + {12: 1, 13: 2, 14: 2}.get(d[p + 2] & 15, 0)
+    if more < 0 or q >= len(d):
+        return False
+    crc = 0
+    for byte in d[p:q]:
+        crc = _CRC8[crc ^ byte]
+    return crc == d[q]
+
+
 def _flac(d: bytes, at: int) -> int | None:
+    """Metadata blocks, then frames: each ends where its checksum holds and another frame begins, the last where none does."""
     p, last = at + 4, False
     while not last:
         if p + 4 > len(d) or (p == at + 4 and d[p] & 0x7F):
             return None
         last = bool(d[p] & 0x80)
         p += 4 + int.from_bytes(d[p + 1 : p + 4], "big")
-    return p - at if p <= len(d) else None
+    if p > len(d):
+        return None
+    while _flac_header(d, p):
+        crc, ends = 0, -1
+        for e in range(p, len(d)):
+            crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ d[e]]
+            if crc == 0 and e >= p + 7:
+                if e + 1 == len(d) or _flac_header(d, e + 1):
+                    ends = e + 1
+                    break
+                ends = e + 1 if ends < 0 else ends
+        if ends < 0:
+            break
+        p = ends
+    return p - at
 
 
 def _ogg(d: bytes, at: int) -> int | None:
@@ -153,11 +198,16 @@ def _ogg(d: bytes, at: int) -> int | None:
 
 
 def _mp4(d: bytes, at: int) -> int | None:
+    """Boxes in a row; a size of 1 stands for one of 64 bits, a size of 0 for all that follows."""
     p, boxes = at, 0
     while at >= 0 and p + 8 <= len(d):
-        n = int.from_bytes(d[p : p + 4], "big")
+        n, least = int.from_bytes(d[p : p + 4], "big"), 8
+        if n == 1:
+            n, least = int.from_bytes(d[p + 8 : p + 16], "big"), 16
+        elif n == 0 and boxes:
+            n = len(d) - p
         kind = d[p + 4 : p + 8]
-        if n < 8 or p + n > len(d) or not kind.isalnum() or (boxes == 0) != (kind == b"ftyp"):
+        if n < least or p + n > len(d) or not kind.isalnum() or (boxes == 0) != (kind == b"ftyp"):
             break
         p, boxes = p + n, boxes + 1
     return p - at if boxes >= 2 else None
@@ -269,7 +319,7 @@ def items(data: bytes) -> list[tuple[str, int, int]]:
         n = check(data, at, trailers) if kind in WITH_TRAILERS else check(data, at)
         if n:
             out.append((kind, at, n))
-            if kind in ("audio/ogg", "application/pdf", "application/zip"):
+            if kind in ("audio/ogg", "application/pdf"):
                 done[kind] = at + n
     return sorted(out, key=lambda x: (x[1], -x[2]))
 
@@ -310,25 +360,47 @@ def sniff(values: DataFrame, data: str = "data", declared: str | None = None) ->
     media_type: type of the item at offset 0, else null. corrected: whether a
     declared type differs from it (null without either). items:
     array<struct<type, offset, length>>. Null data: null type, no items. All
-    other columns are kept.
+    columns are kept, also such as have these names or share one; what is added
+    then has underscores in front.
     """
     kind = "media_type string, items array<struct<type:string,offset:bigint,length:bigint>>"
+    small_batches(values.sparkSession)
 
     @F.pandas_udf(kind)
     def look(column: pd.Series) -> pd.DataFrame:
         found = [items(bytes(x)) if x is not None else [] for x in column]
         return pd.DataFrame({"media_type": [next((k for k, at, _ in f if at == 0), None) for f in found], "items": [[{"type": k, "offset": a, "length": n} for k, a, n in f] for f in found]})
 
-    seen = values.withColumn("_seen", look(F.col(data)))
-    seen = seen.withColumns({"media_type": F.col("_seen.media_type"), "items": F.col("_seen.items")}).drop("_seen")
-    return seen.withColumn("corrected", F.col(declared) != F.col("media_type")) if declared else seen
+    names = values.columns
+    inner = values.toDF(*[f"c{i}" for i in range(len(names))])
+    seen = inner.withColumn("_seen", look(F.col(f"c{names.index(data)}")))
+    added = [F.col("_seen.media_type").alias(free_name("media_type", names)), F.col("_seen.items").alias(free_name("items", names))]
+    if declared:
+        added.append((F.col(f"c{names.index(declared)}") != F.col("_seen.media_type")).alias(free_name("corrected", names)))
+    return seen.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], *added)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores in front as no column has, whatever its case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
 
 
 def carve(values: DataFrame, data: str = "data") -> DataFrame:
-    """One row per item of ``sniff``'s result: its other columns, type, offset, length and bytes."""
-    rest = [c for c in values.columns if c not in (data, "items", "media_type", "corrected")]
-    one = values.select(*rest, data, F.explode("items").alias("item"))
-    return one.select(*rest, "item.*", F.expr(f"substring({data}, int(item.offset) + 1, int(item.length))").alias("bytes"))
+    """One row per item of a binary column: all other columns, then type, offset, length and bytes (names as in ``sniff``).
+
+    Null data or data without items: no rows. Repeated rows are carved each.
+    """
+    names = values.columns
+    rest = [i for i, n in enumerate(names) if i != names.index(data)]
+    seen = sniff(values, data)
+    inner = seen.toDF(*[f"c{i}" for i in range(len(seen.columns))])
+    one = inner.select(*[f"c{i}" for i in rest], F.col(f"c{names.index(data)}").alias("_data"), F.explode(f"c{len(names) + 1}").alias("_item"))
+    kept = [names[i] for i in rest]
+    found = [F.col(f"_item.{n}").alias(free_name(n, kept)) for n in ("type", "offset", "length")]
+    return one.select(*[F.col(f"c{i}").alias(names[i]) for i in rest], *found, F.expr("substring(_data, int(_item.offset) + 1, int(_item.length))").alias(free_name("bytes", kept)))
 
 
 def stored_media(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
@@ -350,9 +422,11 @@ def stored_media(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
                 raw = (text or "").encode()
                 stored = wav(raw + b" " * (-len(raw) % UNIT if raw else UNIT))
                 found = items(stored)
+                # The column says text; the signature says what it is, and what else is inside is carved.
                 kind, at, size = next(x for x in found if x[1] == 0)
                 back = wav_samples(stored, at, size)
-                row = (doc, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), f"type={kind};" + feature(back, len(found) - 1), stored)
+                carved = ",".join(f"{k}:{zlib.crc32(stored[a : a + n]):08x}" for k, a, n in found if a)
+                row = (doc, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), f"type={kind};corrected={int(kind != DECLARED)};" + feature(back, len(found) - 1) + f";carved={carved}", stored)
                 for column, x in zip(out, row, strict=False):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=False)], names=names[:n])
