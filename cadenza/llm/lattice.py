@@ -242,13 +242,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     A vector that is null, empty or zero, or holds null, NaN or infinity, links
     with nothing, as does a row without a vec_id; vectors of different
     dimension never link. Equal vectors link, each repeated row counting as a
-    vector. Rows that share a vec_id but not their vector count as copies of one
-    another. Empty table: empty result.
+    vector. Rows that share a vec_id but not their vector are vectors of their
+    own, linked only if their vectors are. Empty table: empty result.
     """
     rows = exact(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     fine = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = rows.where(F.coalesce(fine, F.lit(False)))
-    equal = materialize(usable.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "equal")
+    equal = usable.groupBy("v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
+    # Nodes are numbers of distinct vectors, fixed once the table is written; ids may be shared.
+    equal = materialize(equal.withColumn("node", F.monotonically_increasing_id()), "equal")
 
     def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -279,10 +281,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     found = materialize(full.repartition(*by).sortWithinPartitions(*by).mapInArrow(lambda x: _verify(x, threshold, tables, probes, scale), "a long, b long, n long"), "found")
     classes = connected_components(found.where("b is not null").select("a", "b"))
     linked = found.where("b is null").groupBy("a").agg(F.sum("n").alias("others"))
-    of_node = distinct.groupBy("node").agg(F.sum("copies").alias("copies")).join(linked, F.col("node") == F.col("a"), "left").select("node", "copies", "others").join(classes, "node", "left")
-    of_node = materialize(of_node.select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "classes")
-    # Rows find their class through the least vec_id of the equal ones; a row that is one of a kind is its own.
-    named = usable.select("vec_id", "v").join(equal.where("copies > 1").select(F.col("v").alias("w"), "node"), F.col("v") == F.col("w"), "left").select("vec_id", F.coalesce("node", "vec_id").alias("node"))
-    done = named.join(of_node, "node").select("vec_id", "n_links", "component_id")
+    of_node = equal.select("node", "first_id", "copies").join(linked, F.col("node") == F.col("a"), "left").join(classes, "node", "left")
+    of_node = of_node.select("node", "first_id", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    of_node = materialize(of_node, "classes")
+    least = of_node.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    of_node = materialize(of_node.join(least, "component").select("node", "first_id", "copies", "n_links", "component_id"), "named")
+    # A vector that one row has is known by its table's id; the others' rows find their class through the vector.
+    once = of_node.where("copies = 1").select(F.col("first_id").alias("vec_id"), "n_links", "component_id")
+    several = usable.join(equal.where("copies > 1").select(F.col("v").alias("w"), "node"), F.col("v") == F.col("w")).select("vec_id", "node")
+    done = once.unionByName(several.join(of_node.select("node", "n_links", "component_id"), "node").select("vec_id", "n_links", "component_id"))
     alone = rows.where(~F.coalesce(fine, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
