@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -154,12 +155,41 @@ def of_five(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)} - {()}
 
 
-@pytest.mark.parametrize(("group", "chunk"), [(32, 256), (2, 8)])
-def test_similar_texts_against_brute_force(make_docs, altered, empty, group, chunk):
+def test_parities_rule_out_no_similar_pair():
+    """Whatever the sizes: pairs that are alike stay possible, singly and in blocks, and most others go."""
+    rng = np.random.default_rng(2)
+    sets = [np.empty(0, np.int64)]
+    for n in (1, 2, 5, 40, 255, 257, 300, 1000, 5000, 5100):
+        h = np.unique(rng.integers(-(1 << 63), 1 << 63, n))
+        sets.append(h)
+        for share in (0.02, 0.08, 0.1, 0.12, 0.2):
+            k = max(1, int(share * n))
+            sets += [np.unique(np.concatenate([h[k:], rng.integers(-(1 << 63), 1 << 63, k)])), h[k:], np.unique(np.concatenate([h, rng.integers(-(1 << 63), 1 << 63, k)]))]
+    raw, sizes = [similar.parities(h) for h in sets], np.array([len(h) for h in sets])
+    block = similar.possible(raw, raw, sizes, sizes)
+    x, y = (z.ravel() for z in np.indices(block.shape))
+    single = similar.possible_pairs([raw[i] for i in x], [raw[i] for i in y], sizes[x], sizes[y])
+    assert (single == block.ravel()).all()
+    same = np.array([[similar.alike(a, b) for b in sets] for a in sets])
+    assert block[same].all() and block.sum() < 1.3 * same.sum()
+
+
+def test_groups_across_batches():
+    """Whatever the batches' borders: repeated nodes once, lonely shingles not at all, the least node as the hub."""
+    r = random.Random(6)
+    rows = sorted((r.randrange(40), r.randrange(30)) for _ in range(150)) + [(99, 1)]
+    want = sorted((s, x, min(y for q, y in rows if q == s)) for s, x in set(rows) if len({y for q, y in rows if q == s}) > 1)
+    for size in (1, 2, 3, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array([c[k] for c in rows[i : i + size]], pa.int64()) for k in (0, 1)], names=["shingle", "node"]) for i in range(0, len(rows), size)]
+        assert sorted(x for b in similar._shared(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)) == want
+
+
+@pytest.mark.parametrize("chunk", [512, 8])
+def test_similar_texts_against_brute_force(make_docs, altered, empty, chunk):
     sets = [(d, of_five(t)) for d, t in altered if d is not None]
     linked = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if len(x & y) >= 0.8 * len(x | y)]
     want = components({d for d, _ in sets}, linked)
-    got = similar.near_duplicates(make_docs(altered), group=group, chunk=chunk).collect()
+    got = similar.near_duplicates(make_docs(altered), chunk=chunk).collect()
     assert len(got) == len(altered)
     assert {(r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None} == set(want.items())
     assert similar.near_duplicates(empty).count() == 0
@@ -248,5 +278,5 @@ def test_lattice_points():
 
 def test_one_id_with_two_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [-1.0, -1.0])], "vec_id long, embedding array<float>")
-    got = sorted((r["vec_id"], r["component_id"], r["kept"]) for r in lattice.near_duplicates(df).collect())
-    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in lattice.near_duplicates(df).collect())
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
