@@ -50,8 +50,7 @@ def unit_rows(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def k_means(vectors: np.ndarray, weights: np.ndarray, k: int, iterations: int = 32, metric: str = SQUARED) -> Clusters:
     """Weighted Lloyd iterations from a farthest-first start; a cluster without weight keeps its centroid.
 
-    The first seed is the row of greatest weight: the first such row, or, for
-    the cosine metric, the last.
+    The first seed is the first of the rows of greatest weight.
     """
     n = len(vectors)
     if not n:
@@ -59,8 +58,7 @@ def k_means(vectors: np.ndarray, weights: np.ndarray, k: int, iterations: int =
     k = min(max(1, k), n)
     cosine = metric == COSINE
     weights = np.maximum(0, weights) if cosine else weights
-    first = n - 1 - int(np.argmax(weights[::-1])) if cosine else int(np.argmax(weights))
-    centroids = vectors[[first]]
+    centroids = vectors[[int(np.argmax(weights))]]
     floor = np.maximum(weights, 1e-9) if cosine else weights
     while len(centroids) < k:
         centroids = np.vstack([centroids, vectors[[int(np.argmax(distances(vectors, centroids, metric).min(1) * floor))]]])

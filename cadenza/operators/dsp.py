@@ -122,7 +122,9 @@ def _pitch(power: np.ndarray, p: Plan, config: AcousticConfig) -> tuple[np.ndarr
 def spectral_features(x: np.ndarray, rate: int, config: AcousticConfig) -> dict[str, np.ndarray]:
     """Spectral shape, pitch, log-mel energies and cepstrum of each row; a silent row has none of them."""
     p = plan(rate, config)
-    spectrum = np.fft.rfft(x * (p.window if x.shape[1] == p.frame else hann(x.shape[1])), n=p.fft, axis=1).astype(np.complex64)
+    windowed = x * (p.window if x.shape[1] == p.frame else hann(x.shape[1]))
+    # Single precision is that of the result, not of the steps on the way.
+    spectrum = np.fft.rfft(windowed.astype(np.float64), n=p.fft, axis=1).astype(np.complex64)
     power = spectrum.real.astype(np.float64) ** 2 + spectrum.imag.astype(np.float64) ** 2
     total = power.sum(1)
     heard = total > TINY

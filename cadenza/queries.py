@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import inference_sql as IS
 from .config import AcousticConfig, AlignmentConfig, CoherenceConfig, DiarizationConfig, FeatureWeights, GroupingConfig, HybridWeights
 from .functions import distribution as D
 from .functions import scalars as S
@@ -27,6 +28,7 @@ from .plans import export as E
 from .sources import embeddings as EM
 from .sources import signals as SG
 from .sources.tables import EVENT_FRAMES_SQL, KEYS, TURNS_SQL, event_frames, event_turns, event_utterances, table
+from .streaming import frames as SF
 from .streaming import groups as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -370,7 +372,7 @@ def family_weighting(spark, sf_dir):
     return rounded(counted.withColumn("n_coordinates", F.col("n_coordinates").cast("int")), "weight")
 
 
-# --- clustering, smoothing, replays (no SQL form) --------------------------------------------------
+# --- clustering, smoothing, replays --------------------------------------------------
 
 
 def _vector_sessions(spark, sf_dir) -> DataFrame:
@@ -378,19 +380,19 @@ def _vector_sessions(spark, sf_dir) -> DataFrame:
     return e.select((F.col("vec_id") % 10).alias("session_id"), F.col("vec_id").alias("obs_id"), F.col("embedding").alias("v"), (0.2 + (F.col("vec_id") % 5) / 6).alias("w"), (F.col("vec_id") * 0.05).alias("start_s"), (F.col("vec_id") * 0.05 + 0.4).alias("end_s"))
 
 
-@query()
+@query(IS.FIXED_SQL)
 def kmeans_fixed_k(spark, sf_dir):
     c = C.cluster_sessions(_vector_sessions(spark, sf_dir), KEYS, "v", "w", config=DiarizationConfig(expected_speakers=4))
     return rounded(c.select(*KEYS, "obs_id", "cluster", "cost", "confidence"), "cost", "confidence")
 
 
-@query()
+@query(IS.AUTO_SQL)
 def auto_k(spark, sf_dir):
     c = C.cluster_sessions(_vector_sessions(spark, sf_dir), KEYS, "v", "w", config=DiarizationConfig(maximum_speakers=6, minimum_improvement=0.02), metric=C.COSINE)
     return c.groupBy(*KEYS).agg(F.first("n_clusters").alias("n_clusters"), F.round(F.first("cost"), 6).alias("cost"))
 
 
-@query()
+@query(IS.VITERBI_SQL)
 def viterbi(spark, sf_dir):
     rows = _vector_sessions(spark, sf_dir)
     c = C.cluster_sessions(rows, KEYS, "v", "w", config=DiarizationConfig(expected_speakers=3))
@@ -400,7 +402,7 @@ def viterbi(spark, sf_dir):
     return s.select(*KEYS, "obs_id", "speaker", "resolved_speaker", "changed_by_continuity", F.round("resolved_confidence", 6).alias("resolved_confidence"), F.round("transition.cost", 6).alias("transition_cost"))
 
 
-@query()
+@query(IS.GREEDY_SQL)
 def greedy_label_match(spark, sf_dir):
     rows = _vector_sessions(spark, sf_dir).withColumn("baseline", F.concat(F.lit("speaker_"), (F.col("obs_id") % 3 + 1).cast("string")))
     c = C.cluster_sessions(rows, KEYS, "v", "w", config=DiarizationConfig(expected_speakers=4))
@@ -457,6 +459,98 @@ def context_json(spark, sf_dir):
     return CX.context_json(CX.context(r, told, "diagnostic"))
 
 
+# --- frames of samples that follow the tables ------------------------------------------------------
+
+
+def _event_chunks(spark, sf_dir) -> DataFrame:
+    """A recording of 1024 samples for every user of the events: two tones and a rough part."""
+    users = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("u")).agg(F.count("*").alias("n"))
+    tone = lambda f, i: F.sin(2 * np.pi * f * i / 16000)
+    x = lambda i: ((0.05 + 0.001 * (F.col("n") % 100)) * tone(100 + F.col("u") % 300, i) + 0.05 * tone(900 + F.col("u") % 700, i) + ((i * 37 + i * i * 13) % 101 - 50) / F.lit(500.0)).cast("float")
+    return users.select(F.col("u").cast("string").alias("session_id"), F.lit(0).cast("long").alias("chunk_index"), F.lit(0.0).alias("start_s"), F.lit(16000).alias("sample_rate"), F.transform(F.sequence(F.lit(0), F.lit(1023)), x).alias("samples"))
+
+
+@query(IS.SPECTRA_SQL)
+def frame_spectra(spark, sf_dir):
+    """Level, spectrum, pitch, mel energies and cepstrum of every frame; the SQL is a plain Fourier sum."""
+    f = dsp.frames(_event_chunks(spark, sf_dir))
+    cells = [F.element_at("log_mel", i).alias(f"mel_{i}") for i in (1, 12, 24)] + [F.element_at("mfcc", i + 1).alias(f"mfcc_{i}") for i in (0, 1, 12)]
+    out = f.select(F.col("session_id").cast("long").alias("session_id"), F.round("start_s", 3).alias("start_s"), "rms", "peak", "zcr", "clip", "centroid_hz", "spread_hz", "rolloff_hz", "flatness", "pitch_hz", "pitch_conf", "voiced_prob", *cells)
+    out = rounded(out, "rms", "peak", "zcr", "clip", "flatness", "pitch_conf", "voiced_prob", places=5)
+    return rounded(rounded(out, "centroid_hz", "spread_hz", "pitch_hz", places=3), "mel_1", "mel_12", "mel_24", "mfcc_0", "mfcc_1", "mfcc_12", places=4)
+
+
+@query(f"select session_id, start_s, rms, centroid_hz, flatness, mel_12 from ({IS.SPECTRA_SQL})")
+def streamed_frames(spark, sf_dir):
+    """The same recordings in chunks of 200 samples, as a stream whose state carries the overlap of frames."""
+    chunks = _event_chunks(spark, sf_dir).select("session_id", "sample_rate", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("c"), "samples")
+    chunks = chunks.select("session_id", F.col("c").cast("long").alias("chunk_index"), (F.col("c") * 200 / F.lit(16000.0)).alias("start_s"), "sample_rate", F.slice("samples", F.col("c") * 200 + 1, F.lit(200)).alias("samples"), (F.col("c") == 5).alias("is_last"))
+    f = SF.streamed_frames(chunks).select(F.col("session_id").cast("long").alias("session_id"), F.round("start_s", 3).alias("start_s"), F.round("rms", 5).alias("rms"), F.round("centroid_hz", 3).alias("centroid_hz"), F.round("flatness", 5).alias("flatness"), F.round(F.element_at("log_mel", 12), 4).alias("mel_12"))
+    return f
+
+
+@query("""select user_id as session_id, count(*) * 2 as n_samples, round(min_by(value / 100, event_id), 6) as start_s, round(sum((value / 100)::float::double + (event_id % 7)::float::double), 3) as total, round(max_by((value / 100)::float::double, event_id), 6) as last from events group by user_id""")
+def session_buffers(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    c = e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("chunk_index"), (F.col("value") / 100).alias("start_s"), F.lit(16000).alias("sample_rate"), F.array(F.col("event_id") % 7, F.col("value") / 100).cast("array<float>").alias("samples"))
+    b = SG.session_buffers(c)
+    return b.select("session_id", F.size("samples").cast("long").alias("n_samples"), F.round("start_s", 6).alias("start_s"), F.round(V.total(F.col("samples").cast("array<double>")), 3).alias("total"), F.round(F.element_at("samples", -1).cast("double"), 6).alias("last"))
+
+
+USABLE_SQL = GROUPS_SQL.replace("from f)", "from u where usable)")
+
+
+@query(f"""with recursive {EVENT_FRAMES_SQL}, {FLOORS_SQL}, {USABLE_SQL},
+g as (select session_id, group_no, min(start_s) as s, max(end_s) as e, count(*) as n, min(id) as first_id, max(id) as last_id from walk group by all having max(end_s) - min(start_s) >= 0.25)
+select session_id, row_number() over (partition by session_id order by group_no) - 1 as obs_id, round(s, 6) as start_s, round(e, 6) as end_s, n as n_frames, first_id, last_id from g""")
+def usable_groups(spark, sf_dir):
+    usable = FR.classified(event_frames(spark, sf_dir), KEYS, ACOUSTIC).where("usable")
+    o, _ = O.grouped_frames(usable, KEYS, GROUPING)
+    return rounded(o.select(*KEYS, "obs_id", "start_s", "end_s", F.size("frame_ids").cast("long").alias("n_frames"), F.element_at("frame_ids", 1).alias("first_id"), F.element_at("frame_ids", -1).alias("last_id")), "start_s", "end_s")
+
+
+@query(f"""with {EVENT_FRAMES_SQL}, g as (select session_id, id // 20 as obs_id, f.* exclude (session_id), 0.5 + k / 250 as consistency, k / 300 as transient, 1 - k / 100 as quality_score from f),
+s as (select session_id, obs_id, [avg(mfcc[1]), avg(mfcc[2]), stddev_pop(mfcc[1]), stddev_pop(mfcc[2]), avg(log_mel[1]), avg(log_mel[2]),
+  case when quantile_cont(pitch_hz, 0.5) > 0 then log2(quantile_cont(pitch_hz, 0.5) / 100) else 0 end, coalesce(stddev_pop(pitch_hz), 0) / 200,
+  avg(centroid_hz) / 4, avg(spread_hz) / 4, 0, avg(flatness) / 4, avg(rms), avg(zcr), avg(consistency), avg(transient), avg(quality_score)] as v from g group by all)
+select session_id, obs_id, i - 1 as place, round(v[i], 5) as value from (select *, unnest(range(1, 18)) as i from s)""")
+def observation_vector(spark, sf_dir):
+    f = event_frames(spark, sf_dir).withColumns({"obs_id": F.floor(F.col("id") / 20), "consistency": 0.5 + F.col("k") / 250, "transient": F.col("k") / 300, "quality_score": 1 - F.col("k") / 100, "rolloff_hz": F.lit(0.0), "sample_rate": F.lit(4)})
+    values, _ = O.feature_vector("families", "raw", FeatureWeights())
+    v = O.view_features(f, KEYS).select(*KEYS, "obs_id", F.posexplode(values).alias("place", "value"))
+    return rounded(v.withColumn("place", F.col("place").cast("long")), "value", places=5)
+
+
+@query("""with p as (select a.vec_id, a.label, a.embedding::double[] as a, b.embedding::double[] as b from embeddings a join embeddings b on b.vec_id = a.vec_id + 1),
+c as (select *, list_transform(a, lambda x: x - list_avg(a)) as ca, list_transform(b, lambda x: x - list_avg(b)) as cb from p),
+r as (select label, (list_dot_product(a[2:], b[2:]) / sqrt(list_dot_product(a[2:], a[2:]) * list_dot_product(b[2:], b[2:])) + 1) / 2 as m, (list_dot_product(ca, cb) / sqrt(list_dot_product(ca, ca) * list_dot_product(cb, cb)) + 1) / 2 as l from c)
+select label as obs_id, round(avg(m), 6) as mfcc_shape, round(avg(l), 6) as log_mel_shape, round((avg(m) + avg(l)) / 2, 6) as combined from r group by label""")
+def view_agreement(spark, sf_dir):
+    """A vector and the next one as two views of one frame."""
+    e = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("session_id"), F.col("vec_id").alias("id"), F.col("label").alias("obs_id"), F.col("embedding").alias("mfcc"), F.col("embedding").alias("log_mel"))
+    a = O.view_agreement(e, e.withColumn("id", F.col("id") - 1), KEYS)
+    return rounded(a.select("obs_id", "agreement.*"), "mfcc_shape", "log_mel_shape", "combined")
+
+
+@query("""select vec_id, round((embedding[1]::double / sqrt(list_dot_product(embedding::double[], embedding::double[])))::float::double, 5) as first, round(sqrt(list_avg(list_transform(embedding::double[], lambda x: x * x))), 6) as magnitude,
+  round(embedding[1]::double * sqrt(greatest(0, vec_id % 5 - 1)) + embedding[2]::double, 6) as weighted, vec_id % 4 <> 0 as has_embedding from embeddings""")
+def admitted_embeddings(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    # Vectors of another length are not admitted.
+    rows = e.unionByName(e.select((F.col("vec_id") + 10_000_000).alias("vec_id"), F.slice("embedding", 1, 5).alias("embedding"), "label"))
+    unit = EM.admitted(rows, 64).select("vec_id", F.round(F.element_at("embedding", 1).cast("double"), 5).alias("first"))
+    w = V.sqrt_weighted("embedding", F.array((F.col("vec_id") % 5 - 1).cast("double"), F.lit(None).cast("double")))
+    kept = e.withColumn("values", F.col("embedding").cast("array<double>")).withColumn("x", w).withColumn("magnitude", F.round(V.rms_magnitude("embedding"), 6))
+    kept = kept.withColumn("embedding", F.when(F.col("vec_id") % 4 != 0, F.col("embedding"))).withColumn("k", EM.clustering_evidence("hybrid"))
+    return unit.join(kept, "vec_id").select("vec_id", "first", "magnitude", F.round(F.element_at("x", 1) + F.element_at("x", 2), 6).alias("weighted"), F.col("k").isNotNull().alias("has_embedding"))
+
+
+@query("select event_type, round(coalesce(avg(case when value > 100000 then value end), 0), 6) as none, round(coalesce(avg(value), 0), 6) as mean, round(coalesce(stddev_pop(value), 0), 6) as deviation from events group by event_type")
+def defaults_of_nothing(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return rounded(e.groupBy("event_type").agg(D.mean_or_zero(F.when(F.col("value") > 100000, F.col("value"))).alias("none"), D.mean_or_zero("value").alias("mean"), D.deviation_or_zero("value").alias("deviation")), "none", "mean", "deviation")
+
+
 # --- comparisons and sets --------------------------------------------------------------------------
 
 
@@ -554,6 +648,12 @@ def align_cascade(spark, sf_dir):
     return _said(A.aligned(u, s, KEYS, ALIGNMENT, 3.0), "method")
 
 
+@query(f"{CASCADE_SQL} select utterance, speaker from ali where method = 'bridgedGap'")
+def alignments_by_method(spark, sf_dir):
+    u, s = _spoken(spark, sf_dir)
+    return A.by_method(A.aligned(u, s, KEYS, ALIGNMENT, 3.0), "bridgedGap").select("utterance", "speaker")
+
+
 @query(f"""{CASCADE_SQL} select utterance, '[' || printf('%.2f', u_start) || ' ... ' || printf('%.2f', u_end) || '] ' || coalesce(speaker, 'unassigned') || coalesce(' ' || printf('%.2f', round(confidence, 6)), '') || '  ' || 'event ' || utterance as line from utt left join ali using (session_id, utterance)""")
 def attributed_lines(spark, sf_dir):
     u, s = _spoken(spark, sf_dir)

@@ -8,6 +8,7 @@ cannot know the rest; a one-shot run uses the whole session.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ from ..config import AcousticConfig
 from ..operators.dsp import FRAME_SCHEMA, Accumulator
 from ..operators.frames import classified, with_consistency
 from ..operators.ordered import rebased
+from ..session import shared_folder
 
 STATE = "rate int, pending binary, pending_start double, implicit_start double, batch_no long, finished boolean"
 
@@ -52,6 +54,17 @@ def frame_stream(chunks: DataFrame, config: AcousticConfig = AcousticConfig(), b
     return rows.groupBy("session_id").applyInPandasWithState(run, FRAME_SCHEMA, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def streamed_frames(chunks: DataFrame, config: AcousticConfig = AcousticConfig(), batch_seconds: float = 4.0) -> DataFrame:
+    """Writes a chunk table (with is_last) to files, streams over them until all are read, and returns the frames written."""
+    spark = chunks.sparkSession
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    chunks.write.parquet(f"{base}/in")
+    stream = frame_stream(spark.readStream.schema(chunks.schema).parquet(f"{base}/in"), config, batch_seconds)
+    run = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(FRAME_SCHEMA).parquet(f"{base}/out")
+
+
 def twin_streams(chunks: DataFrame, enhance: Callable[[DataFrame], DataFrame], config: AcousticConfig = AcousticConfig(), batch_seconds: float = 4.0) -> tuple[DataFrame, DataFrame]:
     """The raw and the enhanced view of one chunk stream; both see the same chunks, so their frames have the same grid."""
     return frame_stream(chunks, config, batch_seconds), frame_stream(enhance(chunks), config, batch_seconds)
