@@ -94,6 +94,6 @@ ri as (select session_id, k, any_value(best) as best, any_value(peak) as peak, a
 pi0 as (select *, least(1, greatest(0, 0.6 * voiced + 0.25 * presence + 0.15 * case when second > 0 then greatest(0, (peak - second) / peak) else 1 end)) * case when best in (5, 28) then 0.8 else 1 end as sure from ri),
 pit as (select session_id, k, voiced, sure, case when voiced >= 0.12 and sure >= 0.15 then (best + case when best in (5, 28) or abs(lo - 2 * peak + hi) <= 1e-20 then 0 else greatest(-0.5, least(0.5, 0.5 * (lo - hi) / (lo - 2 * peak + hi))) end) * 15.625 end as pitch from pi0),
 lev as (select session_id, k, sqrt(list_avg(list_transform(x, lambda v: pow(v::double, 2)))) as rms, list_max(list_transform(x, lambda v: abs(v))) as peak, len(list_filter(range(2, 513), lambda i: (x[i] >= 0) <> (x[i - 1] >= 0))) / 511 as zcr, len(list_filter(x, lambda v: abs(v) >= 0.995)) / 512 as clip from fr)
-select session_id, (k * 0.016)::double as start_s, round(rms, 5) as rms, round(lev.peak, 5) as peak, round(zcr, 5) as zcr, round(clip, 5) as clip, round(centroid, 3) as centroid_hz, round(spread, 3) as spread_hz, rolloff::double as rolloff_hz, round(flatness, 5) as flatness, round(pitch, 3) as pitch_hz, round(sure, 5) as pitch_conf, round(pit.voiced, 5) as voiced_prob,
+select session_id, (k * 0.016)::double as start_s, round(rms, 5) as rms, round(lev.peak::double, 5) as peak, round(zcr, 5) as zcr, round(clip, 5) as clip, round(centroid, 3) as centroid_hz, round(spread, 3) as spread_hz, rolloff::double as rolloff_hz, round(flatness, 5) as flatness, round(pitch, 3) as pitch_hz, round(sure, 5) as pitch_conf, round(pit.voiced, 5) as voiced_prob,
   round(m1, 4) as mel_1, round(m12, 4) as mel_12, round(m24, 4) as mel_24, round(c0, 4) as mfcc_0, round(c1, 4) as mfcc_1, round(c12, 4) as mfcc_12
 from lev join tot using (session_id, k) join spr using (session_id, k) join rol using (session_id, k) join cep using (session_id, k) join pit using (session_id, k)"""

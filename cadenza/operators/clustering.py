@@ -21,6 +21,8 @@ from ..config import DiarizationConfig
 SQUARED, COSINE, FUSED = "standardized-weighted-squared-euclidean", "cosine", "fused-normalized-candidate-cost"
 #: Entries (rows times dimensions) of a session that a grouped function accepts.
 LARGEST = 200_000_000
+#: Numbers of a model of centroids that is sent to every task.
+MODEL = 4_000_000
 
 
 @dataclass
@@ -181,10 +183,14 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, vector: str, cent
     """Adds to each vector its nearest centroid and the distance, the least id of equally near ones.
 
     ``centroids`` is a small fixed table (a model): it is gathered into one
-    array and sent to every task, so vectors are neither joined nor shuffled.
+    array and sent to every task, so vectors are neither joined nor shuffled. A
+    model of more than MODEL numbers is refused.
     """
     from ..functions import vectors as V
 
+    held = centroids.agg(F.sum(F.size(centroid))).first()[0] or 0
+    if held > MODEL:
+        raise ValueError(f"a model of {held} numbers is too large to be sent to every task")
     model = centroids.agg(F.array_sort(F.collect_list(F.struct(F.col(centroid_id).alias("i"), F.col(centroid).cast("array<double>").alias("c")))).alias("_model"))
     joined = vectors.crossJoin(F.broadcast(model))
     each = F.transform("_model", lambda m: F.struct(V.clustering_distance(F.col(vector), m["c"], metric).alias("distance"), m["i"].alias("id")))

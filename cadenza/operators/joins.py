@@ -8,8 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _buckets(start: Column, end: Column, width: float) -> tuple[Column, Column]:
-    return F.floor(start / width).cast("long"), F.floor(end / width).cast("long")
+#: How much wider the buckets of each level are than those of the one before, and how many levels there are.
+STEP, LEVELS = 256, 4
+
+
+def _dealt(df: DataFrame, start: str, end: str, width: float, side: str) -> DataFrame:
+    """A row for every bucket of a range's own level, and for those it touches on the levels above.
+
+    The own level is the first on which the range is no longer than STEP
+    buckets (the last one has no such bound).
+    """
+    length = F.col(end) - F.col(start)
+    own = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        own = F.when(length <= width * STEP ** (k + 1), k).otherwise(own)
+    levels = F.transform(F.sequence(own, F.lit(LEVELS - 1)), lambda k: F.struct(k.alias("level"), (F.lit(float(width)) * F.pow(F.lit(float(STEP)), k)).alias("width")))
+    rows = df.withColumn(f"_{side}own", own).withColumn("_l", F.explode(levels))
+    first, last = (F.floor(F.col(c) / F.col("_l.width")).cast("long") for c in (start, end))
+    rows = rows.withColumn(f"_{side}first", first).withColumn("_b", F.explode(F.sequence(first, last)))
+    return rows.withColumn("_k", F.col("_l.level")).drop("_l")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_range: tuple[str, str], right_range: tuple[str, str], width: float) -> DataFrame:
@@ -17,18 +34,17 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ra
 
     Both sides are dealt to time buckets of ``width`` and joined on session and
     bucket, so a long session is many tasks; a pair that shares several buckets
-    is kept in the first they share. A row is copied once for every bucket it
-    touches: choose a width of the order of the ranges' durations.
+    is kept in the first they share. Longer rows are dealt to wider buckets, and
+    a pair meets on the level of its longer row, so a row has some 260 copies at
+    most, however long it is: choose a width of the order of the usual durations.
     Column names other than the keys must differ. Null ranges meet nothing.
     """
     (ls, le), (rs, re) = left_range, right_range
-    lf, ll = _buckets(F.col(ls), F.col(le), width)
-    rf, rl = _buckets(F.col(rs), F.col(re), width)
-    a = left.where(F.col(le) >= F.col(ls)).withColumn("_lf", lf).withColumn("_b", F.explode(F.sequence("_lf", ll)))
-    b = right.where(F.col(re) >= F.col(rs)).withColumn("_rf", rf).withColumn("_b", F.explode(F.sequence("_rf", rl)))
+    a = _dealt(left.where(F.col(le) >= F.col(ls)), ls, le, width, "l")
+    b = _dealt(right.where(F.col(re) >= F.col(rs)), rs, re, width, "r")
     overlap = F.least(le, re) - F.greatest(ls, rs)
-    met = a.join(b, [*keys, "_b"]).where(F.col("_b") == F.greatest("_lf", "_rf")).withColumn("overlap_s", overlap)
-    return met.where("overlap_s > 0").drop("_b", "_lf", "_rf")
+    met = a.join(b, [*keys, "_k", "_b"]).where((F.col("_k") == F.greatest("_lown", "_rown")) & (F.col("_b") == F.greatest("_lfirst", "_rfirst"))).withColumn("overlap_s", overlap)
+    return met.where("overlap_s > 0").drop("_k", "_b", "_lown", "_rown", "_lfirst", "_rfirst")
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, values: Sequence[str], right_order: Sequence[Column] = (), backward: bool = True, name: str = "asof") -> DataFrame:

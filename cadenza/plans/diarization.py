@@ -188,9 +188,11 @@ def _result(observations: DataFrame, assignments: DataFrame, config: Diarization
 def diarize(frames: DataFrame, config: DiarizationConfig = DiarizationConfig(), enhanced: DataFrame | None = None, keys: Sequence[str] = KEYS, embeddings: DataFrame | None = None) -> Result:
     """Runs every stage on classified frames (id, range, features, consistency, quality), and the enhanced view if there is one.
 
-    Noise evidence, observations and assignments are written as they are made,
+    Frames, noise evidence, observations and assignments are written as they are made,
     so that replays and exports read them instead of running the stages again.
     """
+    frames = retained(frames, "frames")
+    enhanced = retained(enhanced, "frames") if enhanced is not None else None
     noise = FR.noise_profiles(frames, keys)
     evidence = retained(FR.noise_evidence(frames, noise, keys), "evidence") if enhanced is not None else None
     obs = O.observations(frames, keys, config.grouping, enhanced)

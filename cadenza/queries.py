@@ -129,12 +129,12 @@ def quality_score(spark, sf_dir):
     return f.select("id", F.round("quality_score", 6).alias("quality_score"), "usable", F.concat_ws(",", "issues").alias("issues"))
 
 
-@query(f"""with {EVENT_FRAMES_SQL}, raw as (select session_id, id, rms > 0.5 as usable from f), enh as (select session_id, id, rms * 1.5 > 0.5 and k > 30 as usable from f where id % 3 <> 0)
+@query(f"""with {EVENT_FRAMES_SQL}, raw as (select session_id, id, rms > 0.5 as usable from f), enh as (select session_id, id, rms * 1.5 > 0.5 and k > 30 as usable from f where pitch_hz is not null)
 select raw.id, raw.usable from raw left join enh using (session_id, id) where raw.usable or coalesce(enh.usable, false)""")
 def usable_in_either_view(spark, sf_dir):
     f = event_frames(spark, sf_dir)
     raw = f.select(*KEYS, "id", (F.col("rms") > 0.5).alias("usable"))
-    enhanced = f.where("id % 3 <> 0").select(*KEYS, "id", ((F.col("rms") * 1.5 > 0.5) & (F.col("k") > 30)).alias("usable"))
+    enhanced = f.where("pitch_hz is not null").select(*KEYS, "id", ((F.col("rms") * 1.5 > 0.5) & (F.col("k") > 30)).alias("usable"))
     return joins.usable_in_either(raw, enhanced, [*KEYS, "id"]).select("id", "usable")
 
 
@@ -236,12 +236,12 @@ def noise_likelihood(spark, sf_dir):
     return rounded(FR.noise_evidence(f, p, KEYS).select("id", "noise_likelihood", "noise_low_energy"), "noise_likelihood", "noise_low_energy")
 
 
-@query(f"""{NOISE_SQL}, m as (select session_id, id // 20 as obs_id, quantile_cont(case when id % 2 = 0 then likelihood end, 0.5) as l, count(case when id % 2 = 0 then 1 end) as n_sources from w group by all),
+@query(f"""{NOISE_SQL}, m as (select session_id, id // 20 as obs_id, quantile_cont(case when pitch_hz is not null then likelihood end, 0.5) as l, count(pitch_hz) as n_sources from w group by all),
 t as (select *, least(1, greatest(0, (l - 0.55) / (0.80 - 0.55))) as x from m)
 select session_id, obs_id, round(l, 6) as noise_likelihood, n_sources, round(coalesce(x * x * (3 - 2 * x), 0), 6) as taper, round(coalesce(1 - (1 - 0.2) * x * x * (3 - 2 * x), 1), 6) as reliability from t""")
 def reliability_smoothstep(spark, sf_dir):
     f, p = _noisy(spark, sf_dir)
-    evidence = FR.noise_evidence(f, p, KEYS).where("id % 2 = 0")
+    evidence = FR.noise_evidence(f, p, KEYS).where("pitch_hz is not null")
     obs = f.groupBy(*KEYS, F.floor(F.col("id") / 20).alias("obs_id")).agg(F.collect_list("id").alias("frame_ids"))
     return rounded(FR.reliabilities(obs, evidence, KEYS), "noise_likelihood", "taper", "reliability")
 
@@ -513,12 +513,12 @@ def usable_groups(spark, sf_dir):
 s as (select session_id, obs_id, [avg(mfcc[1]), avg(mfcc[2]), stddev_pop(mfcc[1]), stddev_pop(mfcc[2]), avg(log_mel[1]), avg(log_mel[2]),
   case when quantile_cont(pitch_hz, 0.5) > 0 then log2(quantile_cont(pitch_hz, 0.5) / 100) else 0 end, coalesce(stddev_pop(pitch_hz), 0) / 200,
   avg(centroid_hz) / 4, avg(spread_hz) / 4, 0, avg(flatness) / 4, avg(rms), avg(zcr), avg(consistency), avg(transient), avg(quality_score)] as v from g group by all)
-select session_id, obs_id, i - 1 as place, round(v[i], 5) as value from (select *, unnest(range(1, 18)) as i from s)""")
+select session_id, obs_id, i - 1 as place, round(v[i], 9) as value from (select *, unnest(range(1, 18)) as i from s)""")
 def observation_vector(spark, sf_dir):
     f = event_frames(spark, sf_dir).withColumns({"obs_id": F.floor(F.col("id") / 20), "consistency": 0.5 + F.col("k") / 250, "transient": F.col("k") / 300, "quality_score": 1 - F.col("k") / 100, "rolloff_hz": F.lit(0.0), "sample_rate": F.lit(4)})
     values, _ = O.feature_vector("families", "raw", FeatureWeights())
     v = O.view_features(f, KEYS).select(*KEYS, "obs_id", F.posexplode(values).alias("place", "value"))
-    return rounded(v.withColumn("place", F.col("place").cast("long")), "value", places=5)
+    return rounded(v.withColumn("place", F.col("place").cast("long")), "value", places=9)
 
 
 @query("""with p as (select a.vec_id, a.label, a.embedding::double[] as a, b.embedding::double[] as b from embeddings a join embeddings b on b.vec_id = a.vec_id + 1),
@@ -680,12 +680,12 @@ def join_through_ids(spark, sf_dir):
     return met.groupBy(*KEYS, "obs_id").agg(F.count("l_linenumber").alias("n_rows"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
 
 
-@query("select vec_id, case when vec_id % 3 = 0 then 'new' when vec_id % 2 = 0 then 'old' else 'none' end as kind from embeddings")
+@query("select vec_id, case when label < 4 then 'new' when vec_id % 2 = 0 then 'old' else 'none' end as kind from embeddings")
 def embedding_enrichment(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     one = lambda x: F.array(F.lit(x)).cast("array<float>")
     obs = e.select("vec_id", F.when(F.col("vec_id") % 2 == 0, one(1.0)).alias("embedding"))
-    out = EM.enriched(obs, e.where("vec_id % 3 = 0").select("vec_id", one(2.0).alias("embedding")), ["vec_id"])
+    out = EM.enriched(obs, e.where("label < 4").select("vec_id", one(2.0).alias("embedding")), ["vec_id"])
     return out.select("vec_id", F.when(F.element_at("embedding", 1) == 2.0, "new").when(F.element_at("embedding", 1) == 1.0, "old").otherwise("none").alias("kind"))
 
 

@@ -61,6 +61,17 @@ def ship(spark: SparkSession) -> None:
 
 
 _FOLDERS: dict[str, str] = {}
+_USED: set[str] = set()
+
+
+def _removed(spark: SparkSession, folder: str) -> None:
+    """Deletes what this application has written to the shared folder, if the session still lives."""
+    try:
+        if spark.sparkContext._jsc is not None:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001, S110  the session may be gone already
+        pass
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -72,7 +83,11 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir")
     if told:
-        return f"{told.rstrip('/')}/{sc.applicationId}"
+        folder = f"{told.rstrip('/')}/{sc.applicationId}"
+        if folder not in _USED:
+            _USED.add(folder)
+            atexit.register(_removed, spark, folder)
+        return folder
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if sc.applicationId not in _FOLDERS:

@@ -134,6 +134,34 @@ def test_kmeans_laws(points, k):
     assert (C.distances(v, a.centroids, C.SQUARED).min(1) >= 0).all()
 
 
+def test_equal_weights_seed_from_the_first_row():
+    """The row between the others goes to whichever of them was the seed's own side."""
+    v = np.array([[1.0, 0.0], [np.sqrt(0.5), np.sqrt(0.5)], [0.0, 1.0]])
+    for metric in (C.COSINE, C.SQUARED):
+        assert C.k_means(v, np.ones(3), 2, 1, metric).labels.tolist() == [0, 0, 1]
+        assert C.k_means(v, np.array([1.0, 1.0, 2.0]), 2, 1, metric).labels.tolist()[0] == 1
+
+
+def test_overlap_join_of_rows_of_all_lengths(spark):
+    """Ranges from a tenth of a bucket to many thousands: the pairs of brute force, and few copies of a row."""
+    import random
+
+    r = random.Random(2)
+    make = lambda n: [(0, i, s := r.uniform(-50, 5000), s + r.choice([0.01, 0.3, 2, 60, 3000])) for i in range(n)]
+    a, b = make(60), make(60)
+    left, right = spark.createDataFrame(a, "g int, i int, s double, e double"), spark.createDataFrame(b, "g int, j int, t double, u double")
+    got = sorted((x["i"], x["j"]) for x in joins.overlap_join(left, right, ["g"], ("s", "e"), ("t", "u"), 0.1).collect())
+    assert got == sorted((i, j) for _, i, s, e in a for _, j, t, u in b if min(e, u) > max(s, t))
+    assert joins._dealt(left, "s", "e", 0.1, "l").groupBy("i").count().agg({"count": "max"}).first()[0] <= 270
+
+
+def test_too_large_a_model(spark, monkeypatch):
+    monkeypatch.setattr(C, "MODEL", 3)
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "i int, v array<double>")
+    with pytest.raises(ValueError):
+        C.nearest_centroid(df, df, "v", "v", "i")
+
+
 def test_missing_embedding_gives_no_clusters(spark):
     df = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("a", 1, None), ("b", 0, [1.0, 0.0]), ("b", 1, [0.0, 1.0])], "session_id string, obs_id long, v array<double>")
     got = {(r["session_id"], r["obs_id"]): r["cluster"] for r in C.cluster_sessions(df, ["session_id"], "v", config=DiarizationConfig(expected_speakers=2), metric=C.COSINE).collect()}

@@ -38,8 +38,3 @@ def test_query(spark, duck, name):
     assert len(order) == len(result.description)
     want = sorted(tuple(cell(r[i]) for i in order) for r in result.fetchall())
     assert got == want
-
-
-@pytest.mark.parametrize("name", ["kmeans_fixed_k", "auto_k", "viterbi", "greedy_label_match"])
-def test_runs(spark, name):
-    assert queries()[name](spark, SF).count() > 0
