@@ -192,7 +192,7 @@ class Transducer:
 class Encoder:
     """Whole texts to ids: special strings, split parts, then the transducer, with a bounded memo of parts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str | None):
         import regex
 
         v = vocab.vocabulary(path)
@@ -237,7 +237,7 @@ class Encoder:
 class Decoder:
     """Ids to text, step by step: ``feed`` returns the text that is complete, ``close`` the rest."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str | None):
         import codecs
 
         table = vocab.vocabulary(path).bytes_of
@@ -255,12 +255,12 @@ class Decoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str | None) -> Encoder:
     return Encoder(path)
 
 
 @lru_cache(maxsize=2)
-def decoder(path: str) -> Decoder:
+def decoder(path: str | None) -> Decoder:
     return Decoder(path)
 
 
@@ -274,7 +274,6 @@ def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = False)
     Columns: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids: array<int>).
     Null text: as an empty one, which has no ids. Empty table: empty result.
     """
-    path = path or vocab.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np

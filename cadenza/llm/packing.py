@@ -67,7 +67,6 @@ def tokenized_pieces(docs: DataFrame, path: str | None = None, capacity: int = C
     written table. ``with_ids`` adds the ids themselves.
     Repeated doc_ids are packed as often as they occur.
     """
-    path = path or vocab.default_path()
     schema = T.StructType(PIECES.fields + ([T.StructField("ids", T.BinaryType())] if with_ids else []))
     names = schema.fieldNames()
     kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "part": pa.int32(), "part_rank": pa.int64(), "ids": pa.binary()}

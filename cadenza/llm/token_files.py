@@ -144,8 +144,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = EN
     doc_id by a hash of their text). Null or empty text: the end id alone.
     Empty table: no files.
     """
-    spark, path = docs.sparkSession, path or vocab.default_path()
-    folder = folder or new_path(spark, "tokens")
+    folder = folder or new_path(docs.sparkSession, "tokens")
     wide = max(vocab.vocabulary(path).bytes_of) > 0xFFFF or end_id > 0xFFFF
 
     narrow = np.dtype("<u4" if wide else "<u2")

@@ -72,12 +72,13 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=4)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def vocabulary(path: str | None) -> Vocabulary:
+    """The vocabulary of a file; of the default one, wherever this process has it, if there is no path."""
+    return Vocabulary(path or default_path())
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str):
+def encoder(path: str | None):
     """tiktoken's core over the same vocabulary; its merge order is that of the ids."""
     import tiktoken
 
@@ -101,7 +102,7 @@ def cut_long_space(text: str, special: tuple[str, ...]) -> Iterator[tuple[bool,
     yield False, text[at:]
 
 
-def encode_fast(path: str, text: str) -> np.ndarray:
+def encode_fast(path: str | None, text: str) -> np.ndarray:
     """Ids of a whole text as little-endian unsigned 32-bit integers, whatever its length and what it holds."""
     if not text:
         return np.empty(0, "<u4")
