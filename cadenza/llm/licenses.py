@@ -22,6 +22,7 @@ sentence is lost by that.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterable
 
@@ -191,7 +192,7 @@ def anchors(sentences: Iterable[str]) -> list[str]:
         # Of equally good words the longer one is the rarer one in other texts.
         out.append(max(seen, key=lambda w: (seen[w] if len(w) > 6 else 0, len(w), w)))
         left = {s for s in left if out[-1] not in s}
-    return sorted(out)
+    return sorted(w for w in out if not any(x in w for x in out if x != w))
 
 
 ANCHORS = "|".join(anchors(SENTENCES | WHOLE_SENTENCES))
@@ -218,12 +219,15 @@ def scan(docs: DataFrame) -> DataFrame:
 
     none = F.expr("cast(array() as array<string>)")
     told = d.select("doc_id", "low", F.regexp_replace("low", TAG, "\nspdx-license-identifier ").alias("told"))
-    read = told.select("doc_id", F.when(F.col("low").rlike(ANCHORS), F.struct(ids(ENDS).alias("wrapped"), ids(LINE_ENDS).alias("lines"))).alias("r"))
+    anchored = functools.reduce(lambda a, b: a | b, [F.contains(F.col("low"), F.lit(w)) for w in ANCHORS.split("|")])
+    read = told.select("doc_id", F.when(anchored, F.struct(ids(ENDS).alias("wrapped"), ids(LINE_ENDS).alias("lines"))).alias("r"))
     found = read.select("doc_id", F.when(F.col("r").isNull(), none).when(F.size("r.wrapped") >= F.size("r.lines"), F.col("r.wrapped")).otherwise(F.col("r.lines")).alias("ids"))
     line = F.concat(F.lit(","), F.concat_ws(",", "ids"), F.lit(","))
     rules = F.array(*[F.struct(F.lit("," + ",".join(seq) + ",").alias("sequence"), F.lit(name).alias("license")) for seq, name in RULES + WHOLE_RULES])
     held = F.array_distinct(F.transform(F.filter(rules, lambda r: F.contains(F.col("line"), r["sequence"])), lambda r: r["license"]))
-    for name, less in COVERS.items():
-        held = F.when(F.array_contains(held, name), F.array_except(held, F.array(*map(F.lit, less)))).otherwise(held)
+    covers = F.array(*[F.struct(F.lit(name).alias("more"), F.array(*map(F.lit, less)).alias("less")) for name, less in COVERS.items()])
+    # As a bound variable what holds is computed once, however often it is asked.
+    held = F.element_at(F.transform(F.array(held), lambda h: F.filter(h, lambda x: ~F.exists(covers, lambda c: F.array_contains(h, c["more"]) & F.array_contains(c["less"], x)))), 1)
+    held = F.when(F.size("ids") > 0, held).otherwise(none)
     named = found.withColumn("line", line)
     return named.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.concat_ws(",", "ids").alias("sentence_ids"), F.concat_ws(",", held).alias("licenses"))
