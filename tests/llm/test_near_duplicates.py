@@ -223,10 +223,10 @@ def vectors():
     return rows + [(9000, None), (9001, []), (9002, [0.0] * 32), (9003, [float("nan")] * 32), (9004, [None] + [1.0] * 31), (9005, [float("inf")] * 32), (9006, [1.0, 2.0]), (9007, [2.0, 4.0]), (None, [1.0] * 32)]
 
 
-@pytest.mark.parametrize("chunk", [1024, 3])
-def test_vectors_against_brute_force(spark, vectors, chunk):
+@pytest.mark.parametrize(("chunk", "index"), [(1024, None), (3, None), (3, lattice.LEVELS[1][1])])
+def test_vectors_against_brute_force(spark, vectors, chunk, index):
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in vectors], "vec_id long, embedding array<float>, label int, VEC_ID string")
-    got = lattice.near_duplicates(df, chunk=chunk).collect()
+    got = lattice.near_duplicates(df, index=index, chunk=chunk).collect()
     assert len(got) == len(vectors)
     good, linked = brute_vectors(vectors)
     links = [0] * len(good)
@@ -249,21 +249,43 @@ def test_vectors_against_brute_force(spark, vectors, chunk):
     assert lattice.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("index", [index for _, index in lattice.LEVELS])
+def test_recall_at_the_threshold(index):
     """Pairs whose cosine is 0.9 exactly: what one table misses another finds."""
     rng = np.random.default_rng(0)
-    u = rng.normal(size=(2000, 64))
+    u = rng.normal(size=(1000, 64))
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    w = rng.normal(size=(2000, 64))
+    w = rng.normal(size=(1000, 64))
     w -= (w * u).sum(1, keepdims=True) * u
     w /= np.linalg.norm(w, axis=1, keepdims=True)
     v = 0.9 * u + np.sqrt(1 - 0.81) * w
-    h = lattice.Hasher(64, lattice.TABLES, lattice.PROBES, lattice.SCALE)
+    h = lattice.Hasher(64, index)
     (a, pa), (b, pb) = h.keys(u), h.keys(v)
     met = ((a == b) | (pa == b[:, :, None]).any(2) | (pb == a[:, :, None]).any(2)).any(1)
     assert met.mean() >= 0.95
 
 
+def test_candidates_do_not_grow_with_the_table():
+    """Unrelated vectors that one vector meets, in tables of the size at which each index is used last."""
+    rng = np.random.default_rng(5)
+    for most, index in lattice.LEVELS[:2]:
+        u = rng.normal(size=(2000, 64))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        own, near = lattice.Hasher(64, index).keys(u)
+        met = np.zeros((2000, 2000), bool)
+        for t in range(index.tables):
+            met |= own[:, t][:, None] == own[:, t]
+            for p in range(index.probes):
+                met |= near[:, t, p][:, None] == own[:, t]
+        met |= met.T
+        np.fill_diagonal(met, False)
+        assert met.mean() * most <= 3000
+
+
+def test_index_grows_with_the_table():
+    assert [lattice.index_for(n).blocks for n in (0, 100_000, 100_001, 2_000_001, 10**9, 10**11)] == [1, 1, 2, 3, 3, 4]
+
+
 def test_lattice_points():
     rng = np.random.default_rng(1)
     y = rng.normal(size=(500, 8)) * 3
