@@ -1,7 +1,8 @@
 """Byte-level BPE as a streaming transducer with bounded lookahead, and its decoder.
 
-Encoding. Text is split by the vocabulary's pattern; within a split part bytes
-go through ``Transducer`` one at a time. After each byte there is exactly one
+Encoding. Text is read a block of characters at a time and split by the
+vocabulary's pattern up to the last place where a part is sure to begin; what
+follows waits for the next block. Within a split part bytes go through ``Transducer`` one at a time. After each byte there is exactly one
 last token of the encoding of the prefix read so far: the token that ends here
 and is *compatible* with the last token of the prefix before it (no merge
 across their border would have come first). So the state is, for each recent
@@ -9,7 +10,8 @@ place, where its last token began. Nothing older than the longest token can be
 the start of a token to come: ``lookahead(merges)``, computed from the merge
 list, is how far back a state must reach. Once the paths that lead back from
 all places within the lookahead meet in one place, the tokens before it are
-stable whatever follows, and are emitted. Memory is that window.
+stable whatever follows, and are emitted. Memory is that window, a block of
+characters, and the longest stretch without a border of text and white space.
 
 Decoding. ``Decoder`` takes ids one at a time and turns bytes into text as soon
 as a character is complete, holding three bytes at most; what cannot become a
@@ -19,6 +21,8 @@ character is U+FFFD, as in the tokenizers library.
 from __future__ import annotations
 
 import hashlib
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
@@ -99,7 +103,7 @@ class Transducer:
             known = memo[key] = self._undisturbed(a, b, len(self.rank))
         return known
 
-    def part(self, data: bytes) -> list[int]:
+    def part(self, data: bytes) -> Iterable[int]:
         """The tokens of one split part.
 
         Up to the window's length nothing has to be given out early: an
@@ -108,7 +112,7 @@ class Transducer:
         """
         n = len(data)
         if n > self.window:
-            return list(self.stream(data))
+            return self.stream(data)
         memo, compatible = self._compatible, self.compatible
         last, done = [-1] * (n + 1), 0
         for place, (token, length) in self.ending.iter(data.decode("latin-1")):
@@ -189,8 +193,16 @@ class Transducer:
         return out[::-1]
 
 
+def _as_bytes(ids: Iterable[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
-    """Whole texts to ids: special strings, split parts, then the transducer, with a bounded memo of parts."""
+    """Texts to ids: special strings, split parts, then the transducer, with a bounded memo of parts."""
 
     def __init__(self, path: str | None):
         import regex
@@ -198,6 +210,9 @@ class Encoder:
         v = vocab.vocabulary(path)
         self.special = v.special
         self.split = regex.compile(vocab.PATTERN)
+        #: White space after something else: no part, and no special string of a public vocabulary, goes on across it.
+        self.border = regex.compile(r"(?r)(?<=\S)\s")
+        self.borders_are_safe = not any(map(self.border.search, v.special))
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(v.special, key=len, reverse=True))) + ")") if v.special else None
         self.transducer = Transducer(v)
         self.memo: dict[str, bytes] = {}
@@ -217,13 +232,29 @@ class Encoder:
         if known is None:
             known = self.older.get(word)
             if known is None:
-                known = b"".join([x.to_bytes(4, "little") for x in self.transducer.part(word.encode())])
+                known = _as_bytes(self.transducer.part(word.encode()))
             if len(word) <= 64:
                 if len(self.memo) >= MEMO // 2:
                     self.memo, self.older = {}, self.memo
                 self.memo[word] = known
         return known
 
+    def stream(self, blocks: Iterable[str]) -> Iterator[bytes]:
+        """Ids of a text that comes in blocks, as ``encode`` gives them, block by block."""
+        held, tried = "", 0
+        for block in blocks:
+            held += block
+            # A stretch without a border is sought again only when it has doubled.
+            if not self.borders_are_safe or len(held) < 2 * tried:
+                continue
+            border = self.border.search(held)
+            if border is None:
+                tried = len(held)
+                continue
+            yield self.encode(held[: border.start()])
+            held, tried = held[border.start() :], 0
+        yield self.encode(held)
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.special_split is None or not any(s in text for s in self.special):
@@ -264,15 +295,24 @@ def decoder(path: str | None) -> Decoder:
     return Decoder(path)
 
 
-#: Ids that are decoded at a time.
-STEP = 8192
+#: Characters that are encoded at a time.
+BLOCK = 65536
+
+
+def blocks_of(text: str) -> Iterator[str]:
+    """A text, a block at a time; an empty one is one empty block."""
+    for i in range(0, max(len(text), 1), BLOCK):
+        yield text[i : i + BLOCK]
 
 
 def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Encodes every whole text of (doc_id, text) and decodes it again.
 
     Columns: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids: array<int>).
-    Null text: as an empty one, which has no ids. Empty table: empty result.
+    A text goes through block by block, and ids are kept only ``with_ids``; so
+    beside the text itself memory does not grow with its length. Null text: as
+    an empty one, which has no ids. Repeated rows and null doc_id: a row each.
+    Empty table: empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,13 +322,16 @@ def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = False)
         for b in pieces(batches):
             out: list[list] = [[], [], [], []]
             for text in b.column(1).to_pylist():
-                raw = enc.encode(text or "")
-                ids = np.frombuffer(raw, "<u4")
-                digest = hashlib.sha256()
-                for i in range(0, len(ids), STEP):
-                    digest.update(dec.feed(ids[i : i + STEP].tolist()).encode())
-                digest.update(dec.close().encode())
-                for c, x in zip(out, (len(ids), hashlib.sha256(raw).hexdigest(), digest.hexdigest(), ids.astype("<i4") if with_ids else None), strict=True):
+                count, of_ids, of_text, kept = 0, hashlib.sha256(), hashlib.sha256(), []
+                for raw in enc.stream(blocks_of(text or "")):
+                    ids = np.frombuffer(raw, "<u4")
+                    count += len(ids)
+                    of_ids.update(raw)
+                    of_text.update(dec.feed(ids.tolist()).encode())
+                    if with_ids:
+                        kept.append(ids.astype("<i4"))
+                of_text.update(dec.close().encode())
+                for c, x in zip(out, (count, of_ids.hexdigest(), of_text.hexdigest(), np.concatenate(kept) if with_ids else None), strict=True):
                     c.append(x)
             columns = [b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(out[3], pa.list_(pa.int32()))] if with_ids else []), names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids])

@@ -105,6 +105,61 @@ def test_stream_memory_is_bounded(encoder):
     assert encoder.transducer.window == 128
 
 
+def test_window_stays_bounded(encoder):
+    """How far the transducer reads ahead of the tokens that it has given out, over long parts of many kinds."""
+    r = random.Random(8)
+    n = 20_000
+    kinds = ["a" * n, "-" * n, "ab" * (n // 2), "ÃÂ" * (n // 4), "=" * 63 + "-" * n]
+    kinds += ["".join(r.choice(letters) for _ in range(n)) for letters in ("ab", "abcdeinst", "-=", "-=*_", "the", "日本語", "0123456789")]
+    t = encoder.transducer
+    for text in kinds:
+        data, read, given = text.encode(), 0, 0
+
+        def feed(data=data):
+            nonlocal read
+            for b in data:
+                read += 1
+                yield b
+
+        ids = []
+        for token in t.stream(feed()):
+            assert read - given <= 6 * t.window
+            given += t.length[token]
+            ids.append(token)
+        assert given == len(data) and b"".join(encoder_bytes(ids)) == data
+
+
+def encoder_bytes(ids):
+    table = vocab.vocabulary(PATH).bytes_of
+    return [table[i] for i in ids]
+
+
+def test_text_in_blocks(library, encoder):
+    r = random.Random(9)
+    texts = ["".join(r.choice(PARTS) for _ in range(r.randint(0, 200))) for _ in range(600)] + ["", " " * 500, "a" * 500, "x \n  y" * 90]
+    for text, e in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        size = r.randint(1, 40)
+        got = b"".join(encoder.stream(text[i : i + size] for i in range(0, len(text), size)))
+        assert np.frombuffer(got, "<u4").tolist() == e.ids
+
+
+def test_memory_does_not_grow_with_a_text(encoder):
+    import tracemalloc
+
+    line = "Whatever comes in blocks leaves in blocks; 12 of them,\n and some  more.\t"
+
+    def peak(times):
+        tracemalloc.start()
+        ids = sum(len(x) // 4 for x in encoder.stream(line * 100 for _ in range(times)))
+        used = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return ids, used
+
+    peak(10)
+    (few, small), (many, large) = peak(20), peak(400)
+    assert many > 15 * few and large < 1.5 * small
+
+
 def test_round_trip_edges(edges, empty, library):
     got = bpe.round_trip(edges, with_ids=True).collect()
     assert len(got) == len(EDGES)
