@@ -28,6 +28,9 @@ distinct fingerprints can meet at one, so no group is hot.
 
 A bucket reports a spanning forest of its links, fewer rows than it has
 members, never all pairs.
+
+``close`` is the same index with a wide radius, for callers that verify what it
+finds: more and shorter blocks, of which any three are a key.
 """
 
 from __future__ import annotations
@@ -51,6 +54,16 @@ FAN = 16
 BLOCKS = 4
 #: Shingles whose bits are counted at a time.
 STEP = 65536
+#: The wide index: bits that may differ, blocks, and how many of them make a key.
+WIDE, WIDE_BLOCKS, WIDE_AGREE = 12, 8, 3
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes; of none: zero."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), STEP):
+        ones += np.unpackbits(np.ascontiguousarray(h[i : i + STEP]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -213,6 +226,48 @@ def links(nodes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> D
     return near.unionByName(other)
 
 
+def close(fps: DataFrame, distance: int = WIDE, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (fp) that agree in three of eight blocks and differ in at most ``distance`` bits.
+
+    Of each bucket a spanning forest. A bucket of more than ``bucket``
+    fingerprints is cut into runs in Gray order, each searched by itself, so
+    links between runs may be missing: whoever needs all has to look for them
+    in another way (``similar``).
+    """
+    width = 64 // WIDE_BLOCKS
+    tables = list(combinations(range(WIDE_BLOCKS), WIDE_AGREE))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.asarray(b.column(0), np.int64).view(np.uint64)
+            block = [fp >> np.uint64(i * width) & np.uint64((1 << width) - 1) for i in range(WIDE_BLOCKS)]
+            rank = pa.array(gray_rank(fp).view(np.int64))
+            for t, chosen in enumerate(tables):
+                key = np.full(len(fp), t, np.uint64)
+                for i in chosen:
+                    key = key << np.uint64(width) | block[i]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), rank], names=["key", "rank"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, rank), sorted -> what ``_search`` reads, the second column being the run."""
+        last, before = None, 0
+        for b in batches:
+            key, rank = (np.asarray(c, np.int64) for c in b.columns)
+            if not len(key):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            place = np.arange(len(key)) - np.repeat(starts, np.diff(np.append(starts, len(key))))
+            if key[0] == last:
+                place[key == last] += before
+            last, before = key[-1], int(place[-1]) + 1
+            rank = rank.view(np.uint64)
+            fp = pa.array((rank ^ rank >> np.uint64(1)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(place // bucket), fp, fp], names=["table", "bits", "fp", "node"])
+
+    routed = fps.select("fp").mapInArrow(route, "key long, rank long").repartition("key").sortWithinPartitions("key", "rank")
+    return routed.mapInArrow(lambda batches: _search(runs(batches), distance), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, distance: int = DISTANCE, bucket: int = BUCKET, with_hash: bool = False) -> DataFrame:
     """One row per row of (doc_id, text): doc_id, fingerprint (16 hex digits), component_id (and text_hash).
 

@@ -1,12 +1,17 @@
-"""Near duplicates by the similarity of whole texts, exact.
+"""Near duplicates by SimHash and the similarity of whole texts, exact.
 
 Two documents are linked if their sets of word shingles share at least
 ``SIMILARITY`` of what either has (Jaccard); classes are the connected
-components. Fingerprints cannot promise that: texts of similarity 0.8 differ in
-some ten of 64 SimHash bits, with no upper bound, and no block of bits is left
-that such pairs are sure to share.
+components.
 
-Candidates. In one fixed order of all shingles, two sets of similarity t share
+Index. Each set has a SimHash fingerprint; the Gray-order hierarchical index
+(``simhash.close``) finds those that differ in a few bits, and what it finds is
+verified set against set. That settles most classes. Fingerprints cannot promise
+all: texts of similarity 0.8 differ in some ten of 64 bits, with no upper bound,
+and no block of bits is left that such pairs are sure to share. So the links
+between classes that the index leaves apart are looked for exactly.
+
+The rest. In one fixed order of all shingles, two sets of similarity t share
 one of the first n - ceil(t n) + 1 of each (the prefix filter), so sets that
 share no such shingle need no comparison. The order is free; shingles that are
 common in a bounded sample come last, so that passages of many documents are
@@ -35,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, exact, materialize, pieces
-from .simhash import spanning_forest
+from .simhash import close, of_hashes, spanning_forest
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -232,6 +237,12 @@ class _Texts:
     def __init__(self, rows: DataFrame, nodes: DataFrame, words: int, similarity: float):
         self.rows, self.nodes, self.words, self.similarity = rows, nodes, words, similarity
 
+    def apart(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """Of pairs (a, b) of nodes those of different classes."""
+        for end in ("a", "b"):
+            pairs = pairs.join(classes.select(F.col("node").alias(end), F.col("component").alias(f"class_{end}")), end, "left")
+        return pairs.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
+
     def ruled_in(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of nodes those that sizes and parity bits leave possible."""
         for end, bits in (("a", "s"), ("b", "t")):
@@ -271,6 +282,18 @@ class _Texts:
         return materialize(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
 
 
+def index_links(sketched: DataFrame) -> DataFrame:
+    """Candidates (a, b): nodes of (doc_id, node, fp) with equal fingerprints, and with close ones by the index over all of them."""
+    known = sketched.where("doc_id is not null").select("fp", "node").distinct()
+    known = materialize(known, "fingerprints")
+    first = materialize(known.groupBy("fp").agg(F.min("node").alias("node")), "distinct")
+    equal = known.join(first.withColumnRenamed("node", "a"), "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    found = materialize(close(first), "close")
+    for end in ("a", "b"):
+        found = found.withColumnRenamed(end, "fp").join(first.withColumnRenamed("node", f"node_{end}"), "fp").drop("fp")
+    return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).unionByName(equal)
+
+
 def _unsettled(shared: DataFrame, nodes: DataFrame, classes: DataFrame, chunk: int) -> DataFrame:
     """The members of groups with several classes, dealt to tasks of two chunks: the input of ``_pairs_of_chunks``."""
     inside = shared.select("shingle", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -301,7 +324,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
         seen: set[int] = set()
         for b in pieces(batches):
-            rare, often, nodes, sizes, bits = [], [], [], [], []
+            rare, often, nodes, sizes, bits, fps = [], [], [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h = shingles(text, words)
                 node = xxh64_intdigest(h.tobytes(), SEED)
@@ -312,13 +335,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
                     if len(seen) > 1_000_000:
                         seen.clear()
                 first = prefix(h, common, counts, similarity) if new else (h[:0], h[:0])
-                for column, x in zip((rare, often, nodes, sizes, bits), (*first, node, len(h), parities(h)), strict=True):
+                for column, x in zip((rare, often, nodes, sizes, bits, fps), (*first, node, len(h), parities(h), of_hashes(h)), strict=True):
                     column.append(x)
-            ids = pa.array(np.array(nodes, "<u8").view("<i8"))
+            ids, fps = (pa.array(np.array(c, "<u8").view("<i8")) for c in (nodes, fps))
             lists = [pa.array(c, pa.list_(pa.int64())) for c in (rare, often)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), ids, pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), *lists], names=["doc_id", "text_hash", "node", "size", "bits", "rare", "often"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), ids, pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), fps, *lists], names=["doc_id", "text_hash", "node", "size", "bits", "fp", "rare", "often"])
 
-    sketched = materialize(rows.mapInArrow(sketch, "doc_id long, text_hash long, node long, size long, bits binary, rare array<long>, often array<long>"), "sketches")
+    sketched = materialize(rows.mapInArrow(sketch, "doc_id long, text_hash long, node long, size long, bits binary, fp long, rare array<long>, often array<long>"), "sketches")
     dealt = sketched.select(F.explode("rare").alias("shingle"), "node").repartition("shingle").sortWithinPartitions("shingle", "node")
     shared = dealt.mapInArrow(_shared, "shingle long, node long, hub long")
     # At most LISTED shingles are common: the table of their hubs has a bounded size and can be sent to every task.
@@ -330,8 +353,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     nodes = sketched.where("doc_id is not null").join(in_groups, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.first("size").alias("size"), F.first("bits").alias("bits"))
     nodes = materialize(nodes.select("node", F.col("r.doc_id").alias("doc"), F.col("r.text_hash").alias("hash"), "size", "bits"), "nodes")
     texts = _Texts(rows, nodes, words, similarity)
-    stars = texts.ruled_in(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    links = texts.verified(materialize(stars, "possible"))
+    # Nodes that share no prefix shingle with any other have no link; candidates of theirs end at the table of nodes.
+    links = texts.verified(materialize(texts.ruled_in(index_links(sketched)), "possible"))
+    every = materialize(connected_components(links), "components")
+    stars = texts.apart(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), every)
+    links = links.unionByName(texts.verified(materialize(texts.ruled_in(stars), "possible")))
     every = materialize(connected_components(links), "components")
     for forest in (True, False):
         left = _unsettled(shared, nodes, every, chunk)

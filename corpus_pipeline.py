@@ -26,7 +26,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8, by SimHash index and exact check) stays."""
     return simhash.representatives(docs, similar.near_duplicates)
 
 

@@ -184,6 +184,32 @@ def test_groups_across_batches():
         assert sorted(x for b in similar._shared(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)) == want
 
 
+def test_wide_index(spark):
+    """All pairs of a wide radius that agree in three of eight blocks; a crowded bucket cut into runs finds fewer and none besides."""
+    r = random.Random(12)
+    fps = set()
+    for _ in range(60):
+        base = r.getrandbits(64)
+        fps |= {base ^ sum(1 << b for b in r.sample(range(64), r.randrange(14))) for _ in range(6)}
+    fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    bits = {(a, b): (a ^ b) & (1 << 64) - 1 for a in fps for b in fps if a < b}
+    linked = [p for p, x in bits.items() if x.bit_count() <= 12 and sum(not x >> 8 * i & 255 for i in range(8)) >= 3]
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    got = [tuple(sorted(x)) for x in simhash.close(df).collect()]
+    assert set(got) <= set(linked) and components(fps, got) == components(fps, linked)
+    assert {tuple(sorted(x)) for x in simhash.close(df, bucket=2).collect()} <= set(linked)
+
+
+def test_similar_texts_come_from_the_index(spark, altered):
+    """The stage's index over SimHash fingerprints finds close copies by itself."""
+    sets = {d: of_five(t) for d, t in altered if d is not None}
+    fps = [(d, d, np.array([simhash.of_hashes(similar.shingles(t))], "<u8").view("<i8")[0].item()) for d, t in altered if d is not None]
+    got = [(x["a"], x["b"]) for x in similar.index_links(spark.createDataFrame(fps, "doc_id long, node long, fp long")).collect()]
+    place = components(sets, got)
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.93 * len(sets[a] | sets[b])]
+    assert len(near) > 20 and sum(place[a] == place[b] for a, b in near) >= 0.9 * len(near)
+
+
 @pytest.mark.parametrize("chunk", [512, 8])
 def test_similar_texts_against_brute_force(make_docs, altered, empty, chunk):
     sets = [(d, of_five(t)) for d, t in altered if d is not None]
