@@ -17,14 +17,16 @@ share no such shingle need no comparison. The order is free; shingles that are
 common in a bounded sample come last, so that passages of many documents are
 seldom in a prefix. The sample decides on speed only, never on the result.
 Prefix shingles are dealt and sorted once; a scan drops those that one set
-alone has, nearly all of them. The members of a common shingle, of which there
+alone has, nearly all of them, and those members of a group that have too
+little left after the shingle to be alike any other (the position filter): most
+of the texts that share five words by chance. The members of a common shingle, of which there
 is a bounded number, learn their group's least member without a shuffle.
 
 Comparing. Equal sets fall together first. Each set has parity bits, 1024 or, if
 it is large, some four for a shingle, which rule out most pairs before any set is sent anywhere; what is left is compared
 set against set. First every member of a group with the group's least member,
 which settles most groups whatever their size. In the others the pairs of
-different classes that the bits leave possible are looked for, chunk against
+different classes that a quarter of the bits leave possible are looked for, chunk against
 chunk: first a spanning forest of them, then, between classes still apart, all.
 """
 
@@ -73,10 +75,10 @@ def prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: fl
     return h[first[often[first] == 0]], h[first[often[first] > 0]]
 
 
-def parities(h: np.ndarray) -> bytes:
+def parities(h: np.ndarray, least: int = 1024, each: int = 4) -> bytes:
     """Whether an odd number of a set's shingles falls on each of 1024 bits, or of more for a larger set. Two sets differ in as many shingles as bits, at least."""
-    n = 1024
-    while n < 4 * len(h):
+    n = least
+    while n < each * len(h):
         n *= 2
     return np.packbits(np.bincount(h & n - 1, minlength=n).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -151,36 +153,91 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shingle, node), sorted -> (shingle, node, hub) of shingles that several nodes have; the hub is the least one.
+    """Rows (shingle, node, ...), sorted -> (shingle, node, hub, ...) of shingles that several nodes have; the hub is the least one.
 
-    Carries one group's shingle, hub and last node from batch to batch.
+    Carries one group's shingle, hub (with its other columns) and last node from batch to batch.
     """
     shingle = hub = last = None
     told = False
     for batch in batches:
-        s, x = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        s, *x = (np.asarray(c) for c in batch.columns)
         if not len(s):
             continue
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         k = int(np.searchsorted(s, shingle, "right")) if shingle is not None and s[0] == shingle else 0
         if k:
-            fresh = x[:k][np.diff(x[:k], prepend=last) != 0]
-            if len(fresh):
-                nodes = fresh if told else np.concatenate([[hub], fresh])
-                out.append((np.full(len(nodes), shingle), nodes, np.full(len(nodes), hub)))
-                told, last = True, int(fresh[-1])
-        s, x = s[k:], x[k:]
+            fresh = np.diff(x[0][:k], prepend=last) != 0
+            if fresh.any():
+                last = int(x[0][:k][fresh][-1])
+                rows = [c[:k][fresh] if told else np.concatenate([[h], c[:k][fresh]]) for c, h in zip(x, hub, strict=True)]
+                out.append((np.full(len(rows[0]), shingle), rows[0], np.full(len(rows[0]), hub[0]), *rows[1:]))
+                told = True
+        s, x = s[k:], [c[k:] for c in x]
         if len(s):
             keep = np.ones(len(s), bool)
-            keep[1:] = (s[1:] != s[:-1]) | (x[1:] != x[:-1])
-            s, x = s[keep], x[keep]
+            keep[1:] = (s[1:] != s[:-1]) | (x[0][1:] != x[0][:-1])
+            s, x = s[keep], [c[keep] for c in x]
             starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             sizes = np.diff(np.append(starts, len(s)))
             several = np.repeat(sizes > 1, sizes)
-            out.append((s[several], x[several], np.repeat(x[starts], sizes)[several]))
-            shingle, hub, last, told = int(s[-1]), int(x[starts[-1]]), int(x[-1]), bool(sizes[-1] > 1)
+            out.append((s[several], x[0][several], np.repeat(x[0][starts], sizes)[several], *(c[several] for c in x[1:])))
+            shingle, hub, last, told = int(s[-1]), [int(c[starts[-1]]) for c in x], int(x[0][-1]), bool(sizes[-1] > 1)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["shingle", "node", "hub"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["shingle", "node", "hub", *batch.schema.names[2:]])
+
+
+def _partnered(batches: Iterator[pa.RecordBatch], similarity: float, chunk: int) -> Iterator[pa.RecordBatch]:
+    """Rows (shingle, node, hub, size, place), sorted -> (shingle, node, hub) of those that may be alike another of their group.
+
+    ``place``: how many shingles of the set come before this one in the order
+    of all. If it is the first that two sets share, they share no more than
+    what follows in either. Pairs that fail at their first shared shingle are
+    not similar, and the others pass there, whatever becomes of them elsewhere.
+    Groups of more than ``chunk`` members pass whole.
+    """
+    share = similarity / (1 + similarity)
+
+    def found(rows: np.ndarray) -> np.ndarray:
+        """The members of whole groups that have a partner, with their new hubs."""
+        shingle, node, _, size, place = rows
+        rest = size - place
+        starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+        n = np.diff(np.append(starts, len(shingle)))
+        keep = np.repeat(n > chunk, n)
+        two = starts[n == 2]
+        near = two[np.minimum(rest[two], rest[two + 1]) >= share * (size[two] + size[two + 1]) - 1e-6]
+        keep[near] = keep[near + 1] = True
+        for s, e in zip(starts[(n > 2) & (n <= chunk)].tolist(), (starts + n)[(n > 2) & (n <= chunk)].tolist(), strict=True):
+            alone = np.minimum(rest[s:e, None], rest[None, s:e]) >= share * (size[s:e, None] + size[None, s:e]) - 1e-6
+            np.fill_diagonal(alone, False)
+            keep[s:e] = alone.any(1)
+        shingle, node = shingle[keep], node[keep]
+        starts = np.flatnonzero(np.diff(shingle, prepend=shingle[:1] ^ 1))
+        return np.stack([shingle, node, np.repeat(node[starts], np.diff(np.append(starts, len(shingle))))])
+
+    def out(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:3]], names=["shingle", "node", "hub"])
+
+    held, passing = np.empty((5, 0), np.int64), None
+    for batch in batches:
+        rows = np.concatenate([held, np.stack([np.asarray(c, np.int64) for c in batch.columns])], axis=1)
+        if passing is not None:
+            k = int((rows[0] == passing).cumprod().sum())
+            yield out(rows[:, :k])
+            rows = rows[:, k:]
+        if not rows.shape[1]:
+            held = rows
+            continue
+        start = rows.shape[1] - int((rows[0, ::-1] == rows[0, -1]).cumprod().sum())
+        if start:
+            yield out(found(rows[:, :start]))
+        held, passing = rows[:, start:], None
+        if held.shape[1] > chunk:
+            passing = int(held[0, 0])
+            yield out(held)
+            held = held[:, :0]
+    if held.shape[1]:
+        yield out(found(held))
 
 
 def _pairs_of_chunks(batches: Iterator[pa.RecordBatch], similarity: float, forest: bool) -> Iterator[pa.RecordBatch]:
@@ -304,7 +361,7 @@ def _unsettled(shared: DataFrame, nodes: DataFrame, classes: DataFrame, chunk: i
     several = materialize(several.groupBy("n", "mark", "mark2").agg(F.min("shingle").alias("shingle")).select("shingle", "n"), "several")
     parts = F.ceil(F.col("n") / chunk)
     left = inside.join(several, "shingle").withColumn("chunk", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    left = left.join(nodes.select("node", "size", "bits"), "node")
+    left = left.join(nodes.select("node", "size", F.col("short").alias("bits")), "node")
     left = left.select("shingle", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "component", "size", "bits")
     return left.repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi")
 
@@ -324,7 +381,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
         seen: set[int] = set()
         for b in pieces(batches):
-            rare, often, nodes, sizes, bits, fps = [], [], [], [], [], []
+            rare, often, nodes, sizes, bits, short, fps = [], [], [], [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h = shingles(text, words)
                 node = xxh64_intdigest(h.tobytes(), SEED)
@@ -335,23 +392,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
                     if len(seen) > 1_000_000:
                         seen.clear()
                 first = prefix(h, common, counts, similarity) if new else (h[:0], h[:0])
-                for column, x in zip((rare, often, nodes, sizes, bits, fps), (*first, node, len(h), parities(h), of_hashes(h)), strict=True):
+                for column, x in zip((rare, often, nodes, sizes, bits, short, fps), (*first, node, len(h), parities(h), parities(h, 64, 1), of_hashes(h)), strict=True):
                     column.append(x)
             ids, fps = (pa.array(np.array(c, "<u8").view("<i8")) for c in (nodes, fps))
             lists = [pa.array(c, pa.list_(pa.int64())) for c in (rare, often)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), ids, pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), fps, *lists], names=["doc_id", "text_hash", "node", "size", "bits", "fp", "rare", "often"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), ids, pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(short, pa.binary()), fps, *lists], names=["doc_id", "text_hash", "node", "size", "bits", "short", "fp", "rare", "often"])
 
-    sketched = materialize(rows.mapInArrow(sketch, "doc_id long, text_hash long, node long, size long, bits binary, fp long, rare array<long>, often array<long>"), "sketches")
-    dealt = sketched.select(F.explode("rare").alias("shingle"), "node").repartition("shingle").sortWithinPartitions("shingle", "node")
-    shared = dealt.mapInArrow(_shared, "shingle long, node long, hub long")
+    sketched = materialize(rows.mapInArrow(sketch, "doc_id long, text_hash long, node long, size long, bits binary, short binary, fp long, rare array<long>, often array<long>"), "sketches")
+    dealt = sketched.select(F.posexplode("rare").alias("place", "shingle"), "node", "size").select("shingle", "node", "size", F.col("place").cast("long")).repartition("shingle").sortWithinPartitions("shingle", "node")
+    shared = dealt.mapInArrow(lambda batches: _partnered(_shared(batches), similarity, chunk), "shingle long, node long, hub long")
     # At most LISTED shingles are common: the table of their hubs has a bounded size and can be sent to every task.
     often = sketched.select(F.explode("often").alias("shingle"), "node").distinct()
     hubs = materialize(often.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub <> most").select("shingle", "hub"), "hubs")
     shared = materialize(shared.unionByName(often.join(F.broadcast(hubs), "shingle").select("shingle", "node", "hub")), "shared")
 
     in_groups = materialize(shared.select("node").distinct(), "grouped")
-    nodes = sketched.where("doc_id is not null").join(in_groups, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.first("size").alias("size"), F.first("bits").alias("bits"))
-    nodes = materialize(nodes.select("node", F.col("r.doc_id").alias("doc"), F.col("r.text_hash").alias("hash"), "size", "bits"), "nodes")
+    nodes = sketched.where("doc_id is not null").join(in_groups, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("short").alias("short"))
+    nodes = materialize(nodes.select("node", F.col("r.doc_id").alias("doc"), F.col("r.text_hash").alias("hash"), "size", "bits", "short"), "nodes")
     texts = _Texts(rows, nodes, words, similarity)
     # Nodes that share no prefix shingle with any other have no link; candidates of theirs end at the table of nodes.
     links = texts.verified(materialize(texts.ruled_in(index_links(sketched)), "possible"))
@@ -361,10 +418,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     every = materialize(connected_components(links), "components")
     for forest in (True, False):
         left = _unsettled(shared, nodes, every, chunk)
-        pairs = materialize(left.mapInArrow(lambda batches, forest=forest: _pairs_of_chunks(batches, similarity, forest), "a long, b long").distinct(), "possible")
+        pairs = materialize(left.mapInArrow(lambda batches, forest=forest: _pairs_of_chunks(batches, similarity, forest), "a long, b long").distinct(), "pairs")
         if pairs.isEmpty():
             break
-        links = links.unionByName(texts.verified(pairs))
+        links = links.unionByName(texts.verified(materialize(texts.ruled_in(pairs), "possible")))
         every = materialize(connected_components(links), "components")
 
     of_node = sketched.select("doc_id", "text_hash", "node").join(every, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("component"))

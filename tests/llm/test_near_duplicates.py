@@ -210,6 +210,32 @@ def test_similar_texts_come_from_the_index(spark, altered):
     assert len(near) > 20 and sum(place[a] == place[b] for a, b in near) >= 0.9 * len(near)
 
 
+@pytest.mark.parametrize("chunk", [512, 4])
+def test_members_without_a_partner_go(chunk):
+    """Whatever the batches' borders: similar sets meet at their first shared shingle, sets that share one by chance do not."""
+    rng = np.random.default_rng(8)
+    sets = []
+    for n in (1, 5, 30, 100, 200):
+        for _ in range(8):
+            h = rng.integers(0, 1 << 60, n)
+            sets += [np.unique(np.concatenate([h[k:], rng.integers(0, 1 << 60, k), [7, 1 << 59][: n > 5]])) for k in (0, n // 20, n // 12, n // 4)]
+    none = np.empty(0, np.int64)
+    rows = sorted((int(s), x, len(h), place) for x, h in enumerate(sets) for place, s in enumerate(similar.prefix(h, none, none)[0]))
+    alike = [(a, b) for b in range(len(sets)) for a in range(b) if similar.alike(sets[a], sets[b])]
+    for size in (1, 7, 100, 100_000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], names=["shingle", "node", "size", "place"]) for i in range(0, len(rows), size)]
+        got = [x for b in similar._partnered(similar._shared(iter(batches)), 0.8, chunk) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        members = {}
+        for s, x, hub in got:
+            members.setdefault(s, set()).add(x)
+            assert chunk == 4 or hub == min(y for q, y, _ in got if q == s)
+        assert all(any(a in m and b in m for m in members.values()) for a, b in alike)
+        if chunk == 512:
+            assert all(len(m) > 1 for m in members.values())
+            shared = [s for s, *_ in rows]
+            assert len(got) < 0.9 * sum(shared.count(s) > 1 for s in shared)
+
+
 @pytest.mark.parametrize("chunk", [512, 8])
 def test_similar_texts_against_brute_force(make_docs, altered, empty, chunk):
     sets = [(d, of_five(t)) for d, t in altered if d is not None]
