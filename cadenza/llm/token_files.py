@@ -147,13 +147,6 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = EN
     folder = folder or new_path(docs.sparkSession, "tokens")
     wide = max(vocab.vocabulary(path).bytes_of) > 0xFFFF or end_id > 0xFFFF
 
-    narrow = np.dtype("<u4" if wide else "<u2")
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            ids = [vocab.encode_fast(path, text or "").astype(narrow).tobytes() for text in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.binary())], names=["doc_id", "tie", "ids"])
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -162,8 +155,8 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = EN
         for b in pieces(batches):
             if out is None and b.num_rows:
                 out = _Writer(folder, f"part-{part:06d}-{uuid.uuid4().hex}", row_length, wide)
-            for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                out.add(doc, np.concatenate([np.frombuffer(raw, narrow), end]))
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                out.add(doc, np.concatenate([vocab.encode_fast(path, text or ""), end]))
         if out is not None:
             out.close()
             row = (part, out.path, out.index_path, out.n_ids, out.n_docs)
@@ -171,9 +164,8 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = EN
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["part", "path", "index_path", "n_ids", "n_docs"])
 
     rows = exact(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    # Texts become ids where they are read; ids, a third of a text's bytes, are written once and then sorted.
-    encoded = materialize(rows.mapInArrow(encode, "doc_id long, tie long, ids binary"), "encoded")
-    ordered = encoded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+    # Texts are sorted, not ids: compressed, a shuffle of either is as large, and no table of ids has to be written beside it.
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     return materialize(ordered.mapInArrow(write, MANIFEST), "manifest")
 
 

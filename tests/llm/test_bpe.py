@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from cadenza.llm import bpe, packing, token_files, vocab
+from cadenza.llm import bpe, common, packing, token_files, vocab
 
 from .conftest import EDGES
 
@@ -174,6 +174,13 @@ def test_round_trip_edges(edges, empty, library):
     assert bpe.round_trip(empty).count() == 0
 
 
+def test_token_files_write_ids_once(edges, monkeypatch):
+    """Beside the files themselves only their manifest is written."""
+    written = []
+    monkeypatch.setattr(token_files, "materialize", lambda df, what: (written.append(what), common.materialize(df, what))[1])
+    assert token_files.write_token_files(edges, row_length=64).count() and written == ["manifest"]
+
+
 def test_token_files(edges, empty, spark, library):
     import zlib
 
