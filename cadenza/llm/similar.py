@@ -187,7 +187,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _partnered(batches: Iterator[pa.RecordBatch], similarity: float, chunk: int) -> Iterator[pa.RecordBatch]:
-    """Rows (shingle, node, hub, size, place), sorted -> (shingle, node, hub) of those that may be alike another of their group.
+    """Rows (shingle, node, hub, size, place), sorted -> (shingle, node, hub, many) of those that may be alike another of their group.
+
+    ``many`` is 1 where more than two are left: of two, comparing with the hub says all.
 
     ``place``: how many shingles of the set come before this one in the order
     of all. If it is the first that two sets share, they share no more than
@@ -213,17 +215,21 @@ def _partnered(batches: Iterator[pa.RecordBatch], similarity: float, chunk: int)
             keep[s:e] = alone.any(1)
         shingle, node = shingle[keep], node[keep]
         starts = np.flatnonzero(np.diff(shingle, prepend=shingle[:1] ^ 1))
-        return np.stack([shingle, node, np.repeat(node[starts], np.diff(np.append(starts, len(shingle))))])
+        n = np.diff(np.append(starts, len(shingle)))
+        return np.stack([shingle, node, np.repeat(node[starts], n), np.repeat(n > 2, n)])
 
     def out(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:3]], names=["shingle", "node", "hub"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["shingle", "node", "hub", "many"])
+
+    def whole(rows: np.ndarray) -> np.ndarray:
+        return np.stack([*rows[:3], np.ones(rows.shape[1], np.int64)])
 
     held, passing = np.empty((5, 0), np.int64), None
     for batch in batches:
         rows = np.concatenate([held, np.stack([np.asarray(c, np.int64) for c in batch.columns])], axis=1)
         if passing is not None:
             k = int((rows[0] == passing).cumprod().sum())
-            yield out(rows[:, :k])
+            yield out(whole(rows[:, :k]))
             rows = rows[:, k:]
         if not rows.shape[1]:
             held = rows
@@ -234,7 +240,7 @@ def _partnered(batches: Iterator[pa.RecordBatch], similarity: float, chunk: int)
         held, passing = rows[:, start:], None
         if held.shape[1] > chunk:
             passing = int(held[0, 0])
-            yield out(held)
+            yield out(whole(held))
             held = held[:, :0]
     if held.shape[1]:
         yield out(found(held))
@@ -353,7 +359,7 @@ def index_links(sketched: DataFrame) -> DataFrame:
 
 def _unsettled(shared: DataFrame, nodes: DataFrame, classes: DataFrame, chunk: int) -> DataFrame:
     """The members of groups with several classes, dealt to tasks of two chunks: the input of ``_pairs_of_chunks``."""
-    inside = shared.select("shingle", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    inside = shared.where("many = 1").select("shingle", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     inside = materialize(inside, "inside")
     # A passage's shingles have the same members; one of such groups stands for all.
     marks = [F.bit_xor(F.xxhash64("node")).alias("mark"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("mark2")]
@@ -400,11 +406,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
     sketched = materialize(rows.mapInArrow(sketch, "doc_id long, text_hash long, node long, size long, bits binary, short binary, fp long, rare array<long>, often array<long>"), "sketches")
     dealt = sketched.select(F.posexplode("rare").alias("place", "shingle"), "node", "size").select("shingle", "node", "size", F.col("place").cast("long")).repartition("shingle").sortWithinPartitions("shingle", "node")
-    shared = dealt.mapInArrow(lambda batches: _partnered(_shared(batches), similarity, chunk), "shingle long, node long, hub long")
+    shared = dealt.mapInArrow(lambda batches: _partnered(_shared(batches), similarity, chunk), "shingle long, node long, hub long, many long")
     # At most LISTED shingles are common: the table of their hubs has a bounded size and can be sent to every task.
     often = sketched.select(F.explode("often").alias("shingle"), "node").distinct()
     hubs = materialize(often.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub <> most").select("shingle", "hub"), "hubs")
-    shared = materialize(shared.unionByName(often.join(F.broadcast(hubs), "shingle").select("shingle", "node", "hub")), "shared")
+    shared = materialize(shared.unionByName(often.join(F.broadcast(hubs), "shingle").select("shingle", "node", "hub", F.lit(1).cast("long").alias("many"))), "shared")
 
     in_groups = materialize(shared.select("node").distinct(), "grouped")
     nodes = sketched.where("doc_id is not null").join(in_groups, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("short").alias("short"))
@@ -413,7 +419,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     # Nodes that share no prefix shingle with any other have no link; candidates of theirs end at the table of nodes.
     links = texts.verified(materialize(texts.ruled_in(index_links(sketched)), "possible"))
     every = materialize(connected_components(links), "components")
-    stars = texts.apart(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), every)
+    # Most rows are those of pairs that are settled by now, which share many shingles.
+    stars = texts.apart(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")), every).distinct()
     links = links.unionByName(texts.verified(materialize(texts.ruled_in(stars), "possible")))
     every = materialize(connected_components(links), "components")
     for forest in (True, False):

@@ -226,9 +226,9 @@ def test_members_without_a_partner_go(chunk):
         batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], names=["shingle", "node", "size", "place"]) for i in range(0, len(rows), size)]
         got = [x for b in similar._partnered(similar._shared(iter(batches)), 0.8, chunk) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         members = {}
-        for s, x, hub in got:
+        for s, x, hub, many in got:
             members.setdefault(s, set()).add(x)
-            assert chunk == 4 or hub == min(y for q, y, _ in got if q == s)
+            assert chunk == 4 or hub == min(y for q, y, *_ in got if q == s) and many == (sum(q == s for q, *_ in got) > 2)
         assert all(any(a in m and b in m for m in members.values()) for a, b in alike)
         if chunk == 512:
             assert all(len(m) > 1 for m in members.values())
