@@ -5,6 +5,8 @@
   costs more than one stage and every reader sees the same rows.
 * ``connected_components``: alternating large-star / small-star contraction,
   all of it aggregations and joins.
+* ``sieve``: tells most rows that a table of keys does not have, without a
+  shuffle of the rows.
 * ``exact``: picks columns by exact name, also where a table has extra columns
   whose names clash except for case.
 """
@@ -17,7 +19,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
@@ -151,6 +153,43 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(i, rows)
 
 
+#: Bits of a sieve for each key, how many of them a key sets, and the most bits there are (a million words of 64).
+SIEVE_EACH, SIEVE_SET, SIEVE_MOST = 16, 4, 1 << 26
+
+
+def sieve(keys: DataFrame, most: int = SIEVE_MOST) -> Callable[..., DataFrame]:
+    """A function (rows, h, passing=True) -> the rows whose 64-bit hash h passes, or those whose hash does not.
+
+    The hashes of ``keys`` (one long column, a written table) all pass, and few
+    others (some 2 %): a Bloom filter in which a key sets bits of one word, sent
+    to every task. It is for rows that are too long to be shuffled for the sake
+    of a few; what passes still has to be joined. Its size is bounded; of more
+    than ``most`` / 16 keys, more of the others pass.
+    """
+    n = keys.count()
+    if not n:
+        return lambda rows, h, passing=True: rows.where(F.lit(not passing))
+    words = min(most // 64, max(16, 1 << (SIEVE_EACH * n // 64).bit_length()))
+
+    def place(h: Column) -> Column:
+        return F.shiftrightunsigned(h, 6 * SIEVE_SET).bitwiseAND(words - 1)
+
+    def bits(h: Column) -> Column:
+        each = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 6 * i).bitwiseAND(63).cast("int")) for i in range(SIEVE_SET)]
+        return functools.reduce(Column.bitwiseOR, each)
+
+    h = F.col("key")
+    table = keys.toDF("key").groupBy(place(h).alias("_word")).agg(F.bit_or(bits(h)).alias("_bits"))
+    table = materialize(table, "sieve")
+
+    def told(rows: DataFrame, h: Column, passing: bool = True) -> DataFrame:
+        met = rows.join(F.broadcast(table), place(h) == F.col("_word"), "inner" if passing else "left")
+        has = F.coalesce(F.col("_bits").bitwiseAND(bits(h)) == bits(h), F.lit(False))
+        return met.where(has if passing else ~has).select(*rows.columns)
+
+    return told
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long), component being the least node reachable.
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, exact, materialize, pieces
+from .common import connected_components, exact, materialize, pieces, sieve
 from .simhash import close, of_hashes, spanning_forest
 
 WORDS = 5
@@ -334,10 +334,11 @@ class _Texts:
                 keep = pa.array([alike(np.frombuffer(p, "<i8"), np.frombuffer(q, "<i8"), similarity) for p, q in zip(x, y, strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(keep)
 
-        # Few sets are needed; the others are neither made nor sent. Texts stay where they are as long as the list is small.
+        # Few sets are needed; the others are neither made nor sent. Texts stay where they are, but for those on the list where it is long.
         needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         one = materialize(self.nodes.join(needed, "node", "left_semi").select("node", "doc", "hash"), "needed")
-        read = self.rows.join(one, (F.col("doc_id") == F.col("doc")) & (F.col("text_hash") == F.col("hash"))).select("node", "text")
+        listed = sieve(one.select(F.xxhash64("doc", "hash")))(self.rows, F.xxhash64("doc_id", "text_hash"))
+        read = listed.join(one, (F.col("doc_id") == F.col("doc")) & (F.col("text_hash") == F.col("hash"))).select("node", "text")
         # Repeated rows of a text give the same set once more.
         sets = materialize(read.mapInArrow(members, "node long, members binary"), "sets")
         first = sets.dropDuplicates(["node"]).select(F.col("node").alias("a"), F.col("members").alias("x"))

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cadenza.llm import common, lattice, similar, simhash
@@ -255,6 +256,56 @@ def test_stage_drops_near_copies(spark, make_docs, altered):
     assert sorted(d for d in kept if d is not None) == sorted(set(components(sets, linked).values()))
 
 
+def test_sieve(spark):
+    """Keys all pass, and at the usual size few others; a full sieve lets all pass."""
+    rng = np.random.default_rng(6)
+    values = rng.integers(-(1 << 63), 1 << 63, 21_000).tolist()
+    keys = common.materialize(spark.createDataFrame([(v,) for v in values[:1000]], "h long"))
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k long, h long")
+    for most, share in ((common.SIEVE_MOST, 0.03), (1 << 12, 0.8), (64, 1.0)):
+        told = common.sieve(keys, most)
+        passed = {r["k"] for r in told(rows, F.col("h")).collect()}
+        assert {r["k"] for r in told(rows, F.col("h"), passing=False).collect()} == set(range(21_000)) - passed
+        assert passed >= set(range(1000)) and len(passed) - 1000 <= share * 20_000
+    none = common.sieve(keys.limit(0))
+    assert none(rows, F.col("h")).count() == 0 and none(rows, F.col("h"), passing=False).count() == 21_000
+
+
+def shuffled(spark, df):
+    """Bytes that writing ``df`` shuffles if no table is broadcast."""
+    sc, limit = spark.sparkContext, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    sc.setJobGroup("shuffled", "")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df.write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        sc._jsc.clearJobGroup()
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("shuffled") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+
+
+@pytest.mark.parametrize("bits", [common.SIEVE_MOST, 1 << 10, 64])
+def test_texts_that_stay_are_not_shuffled(spark, monkeypatch, bits):
+    """However long the list of rows that go; with a sieve that lets more or all pass, the same rows stay."""
+    rng = np.random.default_rng(7)
+    texts = [rng.bytes(4000).hex() for _ in range(400)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, texts[k]) for k in range(40)] + [(7, texts[7]), (1001, texts[1]), (None, texts[9]), (None, None), (5, texts[6] + " x")]
+    docs = common.materialize(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "docs")
+    least = {}
+    for d, t in reversed(rows[:440]):
+        least[t] = d
+    classes = spark.createDataFrame([(d, least.get(t, d)) for d, t in rows], "doc_id long, component_id long").distinct()
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_hash")).join(classes, "doc_id")
+    monkeypatch.setattr(simhash, "sieve", lambda keys: common.sieve(keys, bits))
+    kept = simhash.representatives(docs, lambda _: found)
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(d for d in ids if d is not None) == list(range(400)) and ids.count(None) == 2
+    if bits == common.SIEVE_MOST:
+        assert shuffled(spark, kept) < 400_000 < 8000 * 400 / 2
+
+
 def brute_vectors(rows):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     n = len(good)
